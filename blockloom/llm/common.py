@@ -172,3 +172,71 @@ def tokens_of(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
 
 def texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+#: Bits of the filters that bits_of() makes: 8 MB, whatever the data.
+FILTER_BITS = 1 << 26
+
+
+def bits_of(df: DataFrame, column: str) -> bytes:
+    """A bit table of the values of a 64-bit hash column: a set bit for each, so none is missed.
+
+    Spark ORs the bits together; at most FILTER_BITS / 64 words reach the driver.
+    More values than bits only mean that more rows pass.
+    """
+    place = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    words = df.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    table[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+    return table.tobytes()
+
+
+def in_bits(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the signed 64-bit hashes may be in the table of 64-bit words."""
+    place = h.astype(np.int64) & np.int64(FILTER_BITS - 1)
+    return (table[place >> 6].view(np.uint64) >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of rows that agree in the first columns, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        new = np.zeros(batch.num_rows, dtype=bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in columns)
+        if held and first != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """a and root for every a of the edges (a, b), a > b: the smallest node that a is connected with.
+
+    Each round points every node at the smallest of its parents, connects the other
+    parents to that one, and goes one step further up; rounds are written to the
+    shared folder. The number of rounds follows the logarithm of the longest chain.
+    """
+    edges = materialise(edges.where("a > b").distinct())
+    while True:
+        best = materialise(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("b").alias("n")))
+        up = best.select(F.col("a").alias("m"), F.col("m").alias("mm"))
+        if not best.where("n > 1").limit(1).count() and not best.join(up, "m", "left_semi").limit(1).count():
+            return best.select("a", F.col("m").alias("root"))
+        hooked = edges.join(best.where("n > 1").select("a", "m"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        lifted = best.join(up, "m", "left").select("a", F.coalesce("mm", "m").alias("b"))
+        edges = materialise(hooked.unionByName(lifted).distinct())
