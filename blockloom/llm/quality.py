@@ -37,10 +37,12 @@ SHARDS = 64
 
 
 def buckets_of(data: bytes) -> Iterator[np.ndarray]:
-    """Row of the table for each word of a text; all-capital words have their own."""
+    """Row of the table for each word of a text; all-capital words and words that repeat the one before have their own."""
     for buf, starts, ends, capital in tokens_of(data):
         h = span_hashes(buf, starts, ends)
-        yield ((h + capital.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+        words = ((h + capital.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+        words[1:][h[1:] == h[:-1]] = 0
+        yield words
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
