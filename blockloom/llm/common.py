@@ -7,17 +7,16 @@ so results don't depend on the order in which Spark reads rows.
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.sources.shared import shared_folder as shared_dir
+
 #: Texts are hashed in pieces of this many bytes, so memory doesn't grow with a text.
 PIECE = 1 << 20
 
@@ -26,21 +25,6 @@ _B_INV = pow(_B, -1, 1 << 64)
 _powers: list[np.ndarray] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir.
-
-    Only where that is unset (a local session, as in tests) a temporary folder is set.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="blockloom-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/blockloom-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession)
