@@ -8,12 +8,12 @@ Paragraphs (lines) are classified by their word n-grams (one and two words):
    hash) that share less than OVERLAP of their pairs of words with any notice.
 2. A multinomial logistic regression over sparse counts (pyspark.ml, in the JVM)
    gives weights for each n-gram and family; what it knows is bounded by VOCABULARY.
-3. Scoring is a broadcast join of the paragraphs' n-grams with the weights: only
-   n-grams that the model knows go on, and a paragraph without any is unknown
-   whatever the rest of it says. A family is accepted over the probability that
-   all but one in a thousand of the held-back unknown paragraphs stay under.
-4. Template comparison confirms a prediction: CONFIRM of the paragraph's or of the
-   notice's pairs of words must be the other's.
+3. Template comparison confirms a prediction: CONFIRM of the paragraph's or of the
+   notice's pairs of words must be the other's. It is made for each family before
+   the classification, as what no template confirms needn't be classified.
+4. Scoring is a broadcast join of the paragraphs' n-grams with the weights: only
+   n-grams that the model knows go on. A family is accepted over the probability
+   that all but one in a thousand of the held-back unknown paragraphs stay under.
 
 Defined results: null and empty texts have no paragraphs; paragraphs of any length
 are taken whole; equal paragraphs are all reported, each with its line; rows equal
@@ -145,25 +145,42 @@ def scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     weights, intercepts, level = fit(docs)
     n = len(FAMILIES)
-    one = paragraphs(docs).withColumn("id", F.monotonically_increasing_id())
     w = words("paragraph")
-    # lines without any word of the model's are dropped by the join; grams count once each in a paragraph
-    hits = one.selectExpr("doc_id", "line", "paragraph", "id", f"explode(array_distinct({grams(w)})) as gram").join(F.broadcast(weights), "gram")
-    sums = hits.groupBy("id", "doc_id", "line").agg(F.first("paragraph").alias("paragraph"), *[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(n)])
+    templates: dict[str, list[list[str]]] = {f: [] for f in FAMILIES}
+    for r in notices(spark).selectExpr("family", f"{pairs(words('notice'))} as p").collect():  # the fixed notices
+        templates[r.family].append(r.p)
+    every = [t for own in templates.values() for t in own]
+    strings = lambda x: F.array([F.lit(v) for v in x])
+    # what no template can confirm needn't be classified: first by all templates' pairs together, then by each template
+    some = F.size(F.array_intersect("p", strings(sorted({v for t in every for v in t}))))
+    shared = lambda t: F.size(F.array_intersect("p", strings(t)))
+    nearest = [
+        F.greatest(*[F.greatest(shared(t) / F.size("p"), shared(t) / F.lit(len(t))) for t in own], F.lit(0.0)) if own else F.lit(0.0)
+        for own in templates.values()
+    ]
+    one = (
+        paragraphs(docs).withColumn("p", F.expr(pairs(w)))
+        .where(some >= CONFIRM * F.least(F.size("p"), F.lit(min(map(len, every)))))
+        .withColumn("overlaps", F.array(*nearest))
+        .where(F.array_max("overlaps") >= CONFIRM)
+        .withColumn("id", F.monotonically_increasing_id())
+        .drop("p")
+    )
+    # grams count once each in a paragraph; those that the model doesn't know fall out in the join
+    hits = one.selectExpr("doc_id", "line", "paragraph", "overlaps", "id", f"explode(array_distinct({grams(w)})) as gram").join(F.broadcast(weights), "gram")
+    sums = hits.groupBy("id", "doc_id", "line").agg(
+        F.first("paragraph").alias("paragraph"), F.first("overlaps").alias("overlaps"), *[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(n)]
+    )
     z = F.array([F.col(f"z{i}") + F.lit(intercepts[i]) for i in range(n)])
-    scored = (
+    return (
         sums.withColumn("z", z).withColumn("top", F.array_max("z"))
         .withColumn("total", F.expr("aggregate(z, 0D, (a, x) -> a + exp(x - top))"))
         .withColumn("best", F.array_max(F.slice("z", 2, n)))
         .withColumn("probability", F.expr("exp(best - top) / total"))
         .where(F.col("probability") >= level)
-        .withColumn("family", F.array([F.lit(f) for f in FAMILIES])[F.expr("array_position(z, best)").cast("int") - 1])
-    )
-    known = notices(spark).selectExpr("family", f"{pairs(words('notice'))} as template").groupBy("family").agg(F.collect_list("template").alias("templates"))
-    return (
-        scored.join(F.broadcast(known), "family")
-        .withColumn("p", F.expr(pairs(w)))
-        .withColumn("overlap", F.expr("array_max(transform(templates, t -> greatest(size(array_intersect(p, t)) / size(p), size(array_intersect(p, t)) / size(t))))"))
+        .withColumn("at", F.expr("array_position(z, best)").cast("int") - 1)
+        .withColumn("family", strings(FAMILIES)[F.col("at")])
+        .withColumn("overlap", F.col("overlaps")[F.col("at")])
         .where(F.col("overlap") >= CONFIRM)
         .select("doc_id", "line", "family", F.round("probability", 6).alias("probability"), F.round("overlap", 6).alias("overlap"), "paragraph")
     )

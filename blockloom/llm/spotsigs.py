@@ -136,7 +136,8 @@ def with_edits(docs: DataFrame) -> DataFrame:
     one more row for each range.
     """
     spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = 4 * tasks  # several to a task, so that tasks are even
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
     cuts = ids.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges).alias("cuts")).first().cuts or []
@@ -160,7 +161,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
         .select("doc_id", "text", "at.*")
     )
     # a range's own rows first, then the first document of the range after it: the next row is the next document
-    dealt = dealt.repartition(ranges, "part").withColumn("spots", spots("text"))
+    dealt = dealt.repartition(tasks, "part").withColumn("spots", spots("text"))
     own = Window.partitionBy("part").orderBy("halo", F.col("doc_id").desc_nulls_last(), "text")
     following = dealt.withColumn("then", F.lead(F.struct("text", "spots")).over(own))
     k = F.floor(F.length("text") / 3).cast("int")
