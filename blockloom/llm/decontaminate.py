@@ -58,11 +58,21 @@ def gram_hashes(code: np.ndarray, q: int) -> np.ndarray:
     n = len(code) - q + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    h = np.zeros(n, dtype=np.uint64)
-    wide = code.astype(np.uint64)
-    for j in range(q):
-        h = h * np.uint64(0x100000001B3) + wide[j : j + n]
-    return h * np.uint64(0x9E3779B97F4A7C15)
+    # hashes of runs of 1, 2, 4 ... characters, put together by the binary digits of q
+    base, part, size = 0x100000001B3, code.astype(np.uint64), 1
+    out, done = None, 0
+    while size <= q:
+        if q & size:
+            if out is None:
+                out = part
+            else:  # the longer run goes in front
+                m = min(len(part), len(out) - size)
+                out = part[:m] * np.uint64(pow(base, done, 1 << 64)) + out[size : size + m]
+            done += size
+        if size * 2 <= q:
+            part = part[: len(part) - size] * np.uint64(pow(base, size, 1 << 64)) + part[size:]
+        size *= 2
+    return out * np.uint64(0x9E3779B97F4A7C15)
 
 
 def align(item: np.ndarray, region: np.ndarray, e: int) -> tuple[int, int, int] | None:
@@ -103,8 +113,10 @@ class Items:
         self.rate = rate
         self.by_q: dict[int, tuple] = {}
         groups: dict[int, list[int]] = {}
-        for k, (_, code) in enumerate(self.items):
-            groups.setdefault(min(gram_size(len(code), budget(len(code), rate)), len(code)), []).append(k)
+        sizes = [min(gram_size(len(code), budget(len(code), rate)), len(code)) for _, code in self.items]
+        common = min([q for q in sizes if q >= 10], default=10)  # the bound holds for smaller q too, and one q is one pass
+        for k, q in enumerate(sizes):
+            groups.setdefault(min(q, common), []).append(k)
         for q, members in groups.items():
             h = [gram_hashes(self.items[k][1], q) for k in members]
             keys, owner = np.concatenate(h), np.repeat(members, [len(x) for x in h])
