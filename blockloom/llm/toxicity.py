@@ -133,7 +133,9 @@ class LabelModel:
         hot = np.eye(3)[v]  # combinations x voters x votes
         self.weight = np.ones(VOTERS)
         self.prior = min(max(prior, 1e-3), 1 - 1e-3)
-        post = np.where(known.sum(axis=1) > 0, (known[:, 1] + self.prior) / (known.sum(axis=1) + 1), self.prior)
+        # where no label says more, EM starts from the votes themselves
+        start = 1 / (1 + np.exp(-(np.log(self.prior / (1 - self.prior)) + (v - 1.0).sum(axis=1))))
+        post = (known[:, 1] + start) / (known.sum(axis=1) + 1)
         for step in range(rounds):
             mass = np.stack([n * (1 - post), n * post], axis=1) + known
             total = mass.sum(axis=0) + 1e-9
