@@ -7,8 +7,8 @@ so results don't depend on the order in which Spark reads rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -82,12 +82,42 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return mix((total[ends] - total[starts]) * down[starts] + np.uint64(seed) + (ends - starts).astype(np.uint64))
 
 
-_NOT_WORD = re.compile(r"[\W_]+")
+#: Beyond these planes Unicode has no letters or digits.
+_PLANES = 0x40000
+
+
+@lru_cache(maxsize=1)
+def characters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: whether it is a letter or digit, and its lower case (a single character)."""
+    word, lower = np.zeros(0x110000, dtype=bool), np.arange(0x110000, dtype=np.uint32)
+    word[:_PLANES] = np.fromiter((chr(i).isalnum() for i in range(_PLANES)), bool, _PLANES)
+    lower[:_PLANES] = np.fromiter((ord(chr(i).lower()[0]) for i in range(_PLANES)), np.uint32, _PLANES)
+    return word, lower
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def normal_codes(text: str) -> np.ndarray:
+    """The code points of normal(text), made by the piece."""
+    word, lower = characters()
+    out, before = [], False
+    for at in range(0, len(text), PIECE):
+        code = codes(text[at : at + PIECE])
+        own = word[code]
+        keep = own.copy()
+        keep[1:] |= own[:-1]
+        keep[0] |= before
+        before = bool(own[-1])
+        out.append(np.where(own, lower[code], np.uint32(32))[keep])
+    made = np.concatenate(out) if out else np.empty(0, dtype=np.uint32)
+    return made[:-1] if len(made) and made[-1] == 32 else made
 
 
 def normal(text: str) -> str:
-    """Lower case, each run of characters other than letters and digits one space."""
-    return _NOT_WORD.sub(" ", text.lower()).strip()
+    """Lower case by the character, each run of characters other than letters and digits one space."""
+    return normal_codes(text).tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def pieces(data: bytes, size: int = PIECE) -> Iterator[bytes]:
