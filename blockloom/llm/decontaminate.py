@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, normal, rows_of
+from .common import PIECE, normal_codes, rows_of
 
 #: Characters of the benchmark that one pass compares with.
 BLOCK = 8_000_000
@@ -50,10 +50,6 @@ def gram_size(n: int, e: int) -> int:
     return 4
 
 
-def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-
-
 def gram_hashes(code: np.ndarray, q: int) -> np.ndarray:
     n = len(code) - q + 1
     if n <= 0:
@@ -105,13 +101,22 @@ def align(item: np.ndarray, region: np.ndarray, e: int) -> tuple[int, int, int]
     return int(cost[end]), int(origin[end]), end
 
 
+def exact(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int] | None:
+    """What align() gives for the first place where the region holds the item unchanged; None if it doesn't."""
+    own, text, at = item.tobytes(), region.tobytes(), -1
+    while (at := text.find(own, at + 1)) >= 0:
+        if at % 4 == 0:
+            return 0, at // 4, at // 4 + len(item)
+    return None
+
+
 class Items:
     """The q-grams of a block of items, by q."""
 
     def __init__(self, rows: list[tuple[int, str]], rate: float):
-        self.items = [(i, codes(t)) for i, t in ((i, normal(t or "")) for i, t in rows) if t]
-        self.rate = rate
+        self.items = [(i, code) for i, code in ((i, normal_codes(t or "")) for i, t in rows) if len(code)]
         self.by_q: dict[int, tuple] = {}
+        self.edits = np.array([budget(len(code), rate) for _, code in self.items], dtype=np.int64)
         groups: dict[int, list[int]] = {}
         sizes = [min(gram_size(len(code), budget(len(code), rate)), len(code)) for _, code in self.items]
         common = min([q for q in sizes if q >= 10], default=10)  # the bound holds for smaller q too, and one q is one pass
@@ -126,46 +131,59 @@ class Items:
             table[keys >> np.uint64(64 - BITS)] = True
             self.by_q[q] = keys[order], owner[order], at[order], table
 
-    def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """item_id, start, end (in the normal text) and edits of the best place of each item found."""
-        code = codes(normal(text))
-        best: dict[int, tuple[int, int, int]] = {}
+    def find(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
+        """For each text: item_id, start, end (in the normal text) and edits of the best place of each item found.
+
+        The texts are looked up as one, with a sign between them that no item has.
+        """
+        best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+        code = [normal_codes(x) for x in texts]
+        first = np.cumsum([0, *(len(x) + 1 for x in code)])
+        joined = np.zeros(first[-1], dtype=np.uint32)
+        for x, at in zip(code, first):
+            joined[at : at + len(x)] = x
         for q, (keys, owner, at, table) in self.by_q.items():
-            h = gram_hashes(code, q)
+            h = gram_hashes(joined, q)
             hit = np.flatnonzero(table[h >> np.uint64(64 - BITS)])
+            low = np.searchsorted(keys, h[hit], "left")
+            same = keys[np.minimum(low, len(keys) - 1)] == h[hit]
+            hit, low = hit[same], low[same]
             if not len(hit):
                 continue
-            low, high = np.searchsorted(keys, h[hit], "left"), np.searchsorted(keys, h[hit], "right")
-            count = high - low
-            if not count.any():
-                continue
-            # a hit in text for each posting of its q-gram
+            count = np.searchsorted(keys, h[hit], "right") - low
+            # a hit in a text for each posting of its q-gram
             place = np.repeat(hit, count)
             post = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-            item, diagonal = owner[post], place - at[post]
-            for k in np.unique(item):
-                own = np.sort(diagonal[item == k])
-                self.verify(int(k), q, own, code, best)
-        return [(self.items[k][0], s, t, e) for k, (e, s, t) in sorted(best.items())]
-
-    def verify(self, k: int, q: int, diagonal: np.ndarray, code: np.ndarray, best: dict) -> None:
-        item = self.items[k][1]
-        n = len(item)
-        e = budget(n, self.rate)
-        need = max(1, n - q + 1 - q * e)
-        width = e + 1
-        # bands of two widths, overlapping by half: counts of neighbouring half bands
-        half, number = np.unique(diagonal // width, return_counts=True)
-        counts = dict(zip(half.tolist(), number.tolist()))
-        starts = sorted({b for x in counts for b in (x - 1, x) if counts.get(b, 0) + counts.get(b + 1, 0) >= need})
-        for b in starts:
-            # an alignment that starts on these diagonals lies within them and e more on either side
-            low, high = max(0, b * width - e), min(len(code), (b + 2) * width + n + e)
-            if k in best and best[k][0] == 0:
-                return
-            found = align(item, code[low:high], e)
-            if found and (k not in best or found[0] < best[k][0]):
-                best[k] = found[0], low + found[1], low + found[2]
+            item, text = owner[post], np.searchsorted(first, place, "right") - 1
+            self.bands(q, text, item, place - first[text] - at[post], code, best)
+        return [[(self.items[k][0], s, t, e) for k, (e, s, t) in sorted(x.items())] for x in best]
+
+    def bands(self, q: int, text: np.ndarray, item: np.ndarray, diagonal: np.ndarray, code: list[np.ndarray], best: list[dict]) -> None:
+        """Counts the hits of each text and item in half bands, and verifies the bands of two that reach the bound."""
+        width = self.edits + 1
+        half = diagonal // width[item]
+        least = half.min()
+        span = int(half.max() - least) + 3
+        band, number = np.unique((text * len(self.items) + item) * span + half - least, return_counts=True)
+        both = number.copy()
+        both[:-1] += np.where(band[1:] == band[:-1] + 1, number[1:], 0)
+        k = band // span % len(self.items)
+        n = np.array([len(x) for _, x in self.items], dtype=np.int64)[k]
+        need = np.maximum(1, n - q + 1 - q * self.edits[k])
+        for b in band[both >= need].tolist():
+            pair, b = divmod(b, span)
+            text_at, own = divmod(pair, len(self.items))
+            self.verify(own, (b + int(least)) * int(width[own]), code[text_at], best[text_at])
+
+    def verify(self, k: int, diagonal: int, code: np.ndarray, best: dict) -> None:
+        """An alignment that starts in the band from this diagonal lies within it and e more on either side."""
+        if k in best and best[k][0] == 0:
+            return
+        item, e = self.items[k][1], int(self.edits[k])
+        low, high = max(0, diagonal - e), min(len(code), diagonal + 2 * (e + 1) + len(item) + e)
+        found = exact(item, code[low:high]) or align(item, code[low:high], e)
+        if found and (k not in best or found[0] < best[k][0]):
+            best[k] = found[0], low + found[1], low + found[2]
 
 
 def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -190,8 +208,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> D
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = Items(shared.value, rate)
-            for batch in rows_of(batches):
-                out = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for x in own.find(t)]
+            for batch in rows_of(batches, PIECE):
+                out = [(d, *x) for d, found in zip(batch.column(0).to_pylist(), own.find([t or "" for t in batch.column(1).to_pylist()])) for x in found]
                 columns = list(zip(*out)) or [()] * 5
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "start", "end", "edits"])
@@ -210,8 +228,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> DataFram
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = Items(shared.value, rate)
-            for batch in rows_of(batches):
-                yield batch.filter(pa.array([not (t and own.find(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+            for batch in rows_of(batches, PIECE):
+                yield batch.filter(pa.array([not x for x in own.find([t or "" for t in batch.column(at).to_pylist()])], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
