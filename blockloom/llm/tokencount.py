@@ -9,7 +9,7 @@ library itself:
 1. each task gathers its distinct pre-tokens with how often they occur, and
    Spark sums these by pre-token (map-side sums first);
 2. pieces are counted once for each distinct pre-token;
-3. the HEAD most frequent pre-tokens (a fixed number, so the size of what is
+3. the most frequent pre-tokens (HEAD of them at most, so the size of what is
    broadcast is bounded) are added up where the text is read; the rest of each
    document's pre-token frequencies are joined to the counts by pre-token. What
    is joined is rare by construction, so no key is hot.
@@ -106,11 +106,26 @@ def counted(words: DataFrame, path: str) -> DataFrame:
     return words.mapInArrow(run, "word string, n long, pieces int")
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words of the highest classes of frequency (eight for each doubling) that hold at most so many words in all.
+
+    A histogram of at most 512 rows sets the bound, so nothing is sorted and no task or driver sees more than it keeps.
+    """
+    grade = F.floor(F.log2("n") * 8)
+    held, least = 0, None
+    for g, size in sorted((tuple(r) for r in counts.groupBy(grade.alias("g")).agg(F.count("*").alias("size")).collect()), reverse=True):
+        held += size
+        if held > most:
+            break
+        least = g
+    return counts.where(F.lit(False) if least is None else grade >= least)
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens and whether n_tokens is over the limit, for each row."""
     spark = docs.sparkSession
     counts = materialise(counted(frequencies(docs), path))
-    top = counts.orderBy(F.desc("n"), "word").limit(head).select("word", "pieces").toPandas()
+    top = most_frequent(counts, head).select("word", "pieces").toPandas()
     known = spark.sparkContext.broadcast(dict(zip(top["word"], top["pieces"].tolist())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
