@@ -260,6 +260,15 @@ def test_line_dedup(spark, corpus):
     assert linededup.without_repeats(docs_of(spark, ["same line here", "same line here"], [3, 3])).count() == 2
 
 
+def test_line_dedup_of_short_lines(spark):
+    texts = ["a b\nx", "A, b!\n...\ny", "x", "...\n\n \nnot here", "中文没有空格\na b c", "中文没有空格。", "1\n1", "a"]
+    docs = docs_of(spark, texts)
+    got = {(r.doc_id, r.line): (r.kept_doc_id, r.kept_line, r.edits) for r in linededup.dropped_lines(docs).collect()}
+    assert got == {(1, 0): (0, 0, 0), (2, 0): (0, 1, 0), (5, 0): (4, 0, 0), (6, 1): (6, 0, 0)}
+    kept = {r.doc_id: r.text for r in linededup.without_repeats(docs).collect()}
+    assert kept == {0: texts[0], 1: "...\ny", 3: texts[3], 4: texts[4], 6: "1", 7: "a"}
+
+
 # 6
 
 
