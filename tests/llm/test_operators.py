@@ -269,6 +269,46 @@ def test_line_dedup_of_short_lines(spark):
     assert kept == {0: texts[0], 1: "...\ny", 3: texts[3], 4: texts[4], 6: "1", 7: "a"}
 
 
+def test_line_dedup_bound_grows(spark, corpus, monkeypatch):
+    rng = random.Random(7)
+    made = []
+    for n in (39, 40, 57, 60, 133):
+        base = [f"w{rng.randint(0, 300)}" for _ in range(n)]
+        made.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 6, 7, 8):
+            own = list(base)
+            for at in sorted(rng.sample(range(len(own)), edits), reverse=True):
+                own[at : at + 1] = rng.choice([[], ["x", own[at]], [f"z{rng.randint(0, 99)}"]])
+            made.append(" ".join(own))
+    # a passage that many lines share, and near copies that differ among themselves
+    passage = [f"p{i}" for i in range(20)]
+    made += [" ".join([*(f"a{rng.randint(0, 900)}" for _ in range(25)), *passage]) for _ in range(20)]
+    base = [f"c{i}" for i in range(60)]
+    made += [" ".join(f"d{rng.randint(0, 99)}" if i in at else x for i, x in enumerate(base)) for at in (rng.sample(range(60), rng.randint(1, 3)) for _ in range(40))]
+    rng.shuffle(made)
+    made += [LONG, LONG + "q r s", "\n".join(made[:5])]
+    rows = list(enumerate(made)) + [(i + 1000, t) for i, t in corpus[:60]]
+    lines = [(i, k, x.split()) for i, t in sorted(rows) for k, x in linededup.lines_of(t or "")]
+    want = {}
+    for n, (i, k, w) in enumerate(lines):
+        for _, _, v in lines[:n]:
+            most = max(1, min(len(w), len(v)) // 20) if min(len(w), len(v)) >= 8 else 0
+            if v == w or (len(w) < 5000 and abs(len(v) - len(w)) <= most and len(set(w) & set(v)) >= len(set(w)) - most and word_distance(v, w) <= most):
+                want[i, k] = True
+                break
+    want[made.index(LONG + "q r s"), 0] = True
+    docs = docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
+    for block in (linededup.BLOCK, 8):
+        monkeypatch.setattr(linededup, "BLOCK", block)
+        found = linededup.dropped_lines(docs, grow=True).collect()
+        assert {(r.doc_id, r.line) for r in found} == set(want)
+    text = {(i, k): w for i, k, w in lines}
+    for r in found:
+        w, v = text[r.doc_id, r.line], text[r.kept_doc_id, r.kept_line]
+        assert (r.kept_doc_id, r.kept_line) < (r.doc_id, r.line) and (len(w) > 5000 or r.edits == word_distance(v, w))
+    assert any(r.edits > 1 for r in found) and linededup.dropped_lines(docs_of(spark, []), grow=True).count() == 0
+
+
 # 6
 
 
