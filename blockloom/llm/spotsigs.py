@@ -9,8 +9,9 @@ high. Equal texts have equal fingerprints.
 similar() is the join: sets are partitioned by their length so that sets of
 different partitions that aren't neighbours can't reach the threshold; a pair
 meets through the rarest spots of a prefix that any pair over the threshold must
-share, is pruned by its lengths, and is compared exactly at last. likeness() does
-the pruning by length for one pair.
+share, is pruned by its lengths, and is compared exactly at last. members() says
+which documents share a set. The query itself compares each document with two given
+others by likeness(), exactly and without pruning, and doesn't reach the join.
 
 Defined results: a null text is the empty text, with the empty fingerprint (two
 empty sets are alike by 1, an empty one and another by 0); a text without anchors
@@ -65,7 +66,7 @@ def as_text(spots_column: str) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """Jaccard similarity of two sets; sets whose lengths alone rule it out aren't intersected."""
+    """Jaccard similarity of two sets, which are intersected unless one is empty."""
     return F.expr(
         f"""
         case when size({a}) = 0 and size({b}) = 0 then 1D
@@ -80,43 +81,57 @@ def length_partition(size: Column, threshold: float) -> Column:
     return F.floor(F.log(size) / F.lit(math.log(1 / threshold)))
 
 
+def set_key(spots_column: str) -> Column:
+    """A name for a set of spots; documents with null or equal ids may hold several sets."""
+    return F.sha2(as_text(spots_column).cast("binary"), 256)
+
+
+def members(docs: DataFrame) -> DataFrame:
+    """doc_id and set_key of each row of docs that has spots."""
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spots("coalesce(text, '')").alias("spots"))
+    return made.where(F.size("spots") > 0).select("doc_id", set_key("spots").alias("set_key"))
+
+
 def similar(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs a, b of documents (ids) whose sets of spots are alike by the threshold or more, each set once.
+    """Pairs of sets of spots that are alike by the threshold or more, each pair once.
 
-    Returns a (the smallest id of a set), b (that of another) and jaccard; members() says which
-    documents share a set.
+    Returns a (the smallest id of a set; null if it has none), b (that of another), jaccard, and the keys of
+    both sets, by which members() names all documents that share them.
     """
     sets = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), spots("coalesce(text, '')").alias("spots"))
         .where(F.size("spots") > 0)
         .groupBy("spots")
         .agg(F.min("doc_id").alias("id"))
+        .withColumn("key", set_key("spots"))
         .withColumn("n", F.size("spots"))
         .withColumn("part", length_partition(F.col("n"), threshold))
     )
     sets = materialise(sets)
-    every = sets.select("id", "n", "part", F.explode("spots").alias("spot"))
+    every = sets.select("key", "n", "part", F.explode("spots").alias("spot"))
     common = materialise(every.groupBy("spot").agg(F.count("*").alias("df")))
-    ranked = every.join(common, "spot").groupBy("id", "n", "part").agg(F.array_sort(F.collect_list(F.struct("df", "spot"))).alias("order"))
+    ranked = every.join(common, "spot").groupBy("key", "n", "part").agg(F.array_sort(F.collect_list(F.struct("df", "spot"))).alias("order"))
     # of sets alike by t, the rarest n - ceil(t n) + 1 spots of each share one
     prefix = F.expr(f"slice(order, 1, n - cast(ceil({threshold} * n) as int) + 1)")
-    keyed = materialise(ranked.select("id", "n", "part", F.explode(F.transform(prefix, lambda x: x["spot"])).alias("spot")))
-    left = keyed.select(F.col("id").alias("a"), F.col("n").alias("na"), "part", "spot")
-    right = keyed.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.explode(F.expr("array(part, part + 1)")).alias("part"), "spot")
+    keyed = materialise(ranked.select("key", "n", "part", F.explode(F.transform(prefix, lambda x: x["spot"])).alias("spot")))
+    left = keyed.select(F.col("key").alias("ka"), F.col("n").alias("na"), "part", "spot")
+    right = keyed.select(F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("part").alias("own"), F.explode(F.expr("array(part, part + 1)")).alias("part"), "spot")
     # b's partition is a's or the one below; pairs within one partition are taken once
     pairs = (
-        left.join(right.join(keyed.select(F.col("id").alias("b"), F.col("part").alias("own")).distinct(), "b"), ["part", "spot"])
-        .where((F.col("own") < F.col("part")) | (F.col("a") < F.col("b")))
+        left.join(right, ["part", "spot"])
+        .where((F.col("own") < F.col("part")) | (F.col("ka") < F.col("kb")))
         .where(F.least("na", "nb") >= F.ceil(threshold * F.greatest("na", "nb")))
-        .select("a", "b").distinct()
+        .select("ka", "kb").distinct()
     )
-    full = sets.select("id", "spots")
+    side = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    full = sets.select("key", side.alias("x"), "spots")
     return (
-        pairs.join(full.select(F.col("id").alias("a"), F.col("spots").alias("sa")), "a")
-        .join(full.select(F.col("id").alias("b"), F.col("spots").alias("sb")), "b")
+        pairs.join(full.select(F.col("key").alias("ka"), F.col("x").alias("xa"), F.col("spots").alias("sa")), "ka")
+        .join(full.select(F.col("key").alias("kb"), F.col("x").alias("xb"), F.col("spots").alias("sb")), "kb")
         .withColumn("jaccard", likeness("sa", "sb"))
         .where(F.col("jaccard") >= threshold)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
+        .select(F.least("xa", "xb").alias("x"), F.greatest("xa", "xb").alias("y"), "jaccard")
+        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "jaccard", F.col("x.key").alias("a_key"), F.col("y.key").alias("b_key"))
     )
 
 

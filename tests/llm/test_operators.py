@@ -111,6 +111,20 @@ def test_spotsigs_join(spark, corpus):
     assert got == want
 
 
+def test_spotsigs_members(spark):
+    text = "the one two of three four and five six to seven eight in nine ten is eleven twelve"
+    texts = [text, text.upper(), text + " on", text, text + " on", None]
+    docs = docs_of(spark, texts, [4, 4, 4, None, None, 9])
+    pairs = spotsigs.similar(docs, 0.6).collect()
+    assert len(pairs) == 1 and (pairs[0].a, pairs[0].b) == (4, 4)
+    of = {}
+    for r in spotsigs.members(docs).collect():
+        of.setdefault(r.set_key, []).append(r.doc_id)
+    assert sorted(len(v) for v in of.values()) == [2, 3] and {pairs[0].a_key, pairs[0].b_key} == set(of)
+    none = spotsigs.similar(docs_of(spark, texts[:3], [None, None, None]), 0.6).collect()
+    assert [(r.a, r.b) for r in none] == [(None, None)]
+
+
 # 3
 
 
