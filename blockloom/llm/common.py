@@ -200,9 +200,9 @@ def bits_of(df: DataFrame, column: str) -> bytes:
     """
     place = F.pmod(F.col(column), F.lit(FILTER_BITS))
     words = df.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    table[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
     return table.tobytes()
 
 
