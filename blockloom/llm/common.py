@@ -33,7 +33,18 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def doc_hash() -> Column:
-    return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of df has them (names differ in more than case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
@@ -188,27 +199,31 @@ def texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-#: Bits of the filters that bits_of() makes: 8 MB, whatever the data.
-FILTER_BITS = 1 << 26
+#: The most bits of the tables that bits_of() makes: 128 MB.
+FILTER_BITS = 1 << 30
 
 
 def bits_of(df: DataFrame, column: str) -> bytes:
     """A bit table of the values of a 64-bit hash column: a set bit for each, so none is missed.
 
-    Spark ORs the bits together; at most FILTER_BITS / 64 words reach the driver.
-    More values than bits only mean that more rows pass.
+    It has 16 bits for each value, up to FILTER_BITS (beyond 2^26 values more rows pass in vain, and none is lost).
+    Spark ORs the bits together; only the table's words reach the driver, as Arrow.
     """
-    place = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    size = 1 << 16
+    many = df.count()
+    while size < min(16 * many, FILTER_BITS):
+        size *= 2
+    place = F.pmod(F.col(column), F.lit(size))
     words = df.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    table = np.zeros(size // 64, dtype=np.int64)
     table[found["word"].to_numpy()] = found["bits"].to_numpy()
     return table.tobytes()
 
 
 def in_bits(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which of the signed 64-bit hashes may be in the table of 64-bit words."""
-    place = h.astype(np.int64) & np.int64(FILTER_BITS - 1)
+    place = h.astype(np.int64) & np.int64(64 * len(table) - 1)
     return (table[place >> 6].view(np.uint64) >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_of, components, groups, in_bits, materialise, mix, normal, rows_of, shingles, with_keys, word_hashes
+from .common import bits_of, components, fresh, groups, in_bits, materialise, mix, normal, rows_of, shingles, with_keys, word_hashes
 
 RUN, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, STEP = 32, 5, 32
@@ -250,10 +250,14 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents of which no other in their group has a smaller id (of equal ids: a smaller hash); repeated rows once."""
+    """The documents of which no other in their group has a smaller id (of equal ids: a smaller hash); repeated rows once.
+
+    Other columns stay as they are, whatever their names.
+    """
+    own, keep_id, keep_hash = fresh(docs, "own_hash", "keep_id", "keep_hash")
     found = classes(docs)
-    keep = found.where(F.col("class_id").eqNullSafe(F.col("doc_id"))).groupBy("class_id").agg(F.min("doc_hash").alias("keep_hash"))
-    keep = keep.select("keep_hash", F.col("class_id").alias("keep_id"))
-    keyed = docs.withColumn("doc_hash", F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))))
-    kept = keyed.join(keep, (F.col("doc_hash") == F.col("keep_hash")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "doc_hash"]).select(*docs.columns)
+    keep = found.where(F.col("class_id").eqNullSafe(F.col("doc_id"))).groupBy("class_id").agg(F.min("doc_hash").alias(keep_hash))
+    keep = keep.select(keep_hash, F.col("class_id").alias(keep_id))
+    keyed = docs.withColumn(own, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    kept = keyed.join(keep, (F.col(own) == F.col(keep_hash)) & F.col("doc_id").eqNullSafe(F.col(keep_id)), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).select(*docs.columns)

@@ -243,26 +243,48 @@ def word_distance(a, b):
     return row[-1]
 
 
+def bound(n):
+    return n // 20 if n >= 40 else int(n >= 8)
+
+
 def brute_lines(rows):
-    lines = [(i, k, x.split()) for i, t in sorted(rows) for k, x in linededup.lines_of(t or "")]
-    gone = set()
-    for n, (i, k, w) in enumerate(lines):
-        for _, _, v in lines[:n]:
-            if v == w or (len(w) >= 8 and len(v) >= 8 and abs(len(v) - len(w)) < 2 and word_distance(v, w) <= 1):
-                gone.add((i, k))
-                break
+    """Line by line: each that goes, with the lines that stay before it and are within the bound, and their edits."""
+    kept, gone = [], {}
+    for i, k, x in [(i, k, x.split()) for i, t in sorted(rows) for k, x in linededup.lines_of(t or "")]:
+        near = {}
+        for j, m, v in kept:
+            most = bound(min(len(x), len(v)))
+            if v == x:
+                near[j, m] = 0
+            elif most and abs(len(v) - len(x)) <= most and len(set(x) & set(v)) >= len(set(x)) - most and (edits := word_distance(v, x)) <= most:
+                near[j, m] = edits
+        if near:
+            gone[i, k] = near
+        else:
+            kept.append((i, k, x))
     return gone
 
 
+def check_lines(spark, rows):
+    docs = docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
+    found = linededup.dropped_lines(docs).collect()
+    want = brute_lines(rows)
+    assert {(r.doc_id, r.line) for r in found} == set(want)
+    for r in found:  # the line named stays, stands before, and is so many edits away
+        assert want[r.doc_id, r.line][r.kept_doc_id, r.kept_line] == r.edits
+    return docs, found
+
+
+BASE = "one two three four five six seven eight nine ten".split()
+
+
 def test_line_dedup(spark, corpus):
-    base = "one two three four five six seven eight nine ten"
-    w = base.split()
-    made = [base, base.upper() + "!", " ".join(w[:-1]), " ".join(w[1:]), " ".join([*w[:4], "x", *w[4:]]), " ".join([*w[:9], "y"]), " ".join(["z", *w[1:]]), " ".join(w[::-1]), " ".join(w[:3]) + "\n" + " ".join(w[:3]), "a b", None, ""]
+    w = BASE
+    made = [" ".join(w), " ".join(w).upper() + "!", " ".join(w[:-1]), " ".join(w[1:]), " ".join([*w[:4], "x", *w[4:]]), " ".join([*w[:9], "y"]), " ".join(["z", *w[1:]]), " ".join(w[::-1]), " ".join(w[:3]) + "\n" + " ".join(w[:3]), "a b", None, ""]
     made += [" ".join([*w[:5], f"n{i}", *w[6:]]) for i in range(12)] + [LONG, LONG + "\nq"]
     rows = list(enumerate(made)) + [(i + 1000, t) for i, t in corpus[:90]]
-    docs = docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
-    got = {(r.doc_id, r.line) for r in linededup.dropped_lines(docs).collect()}
-    assert got == brute_lines(rows)
+    docs, found = check_lines(spark, rows)
+    got = {(r.doc_id, r.line) for r in found}
     kept = {r.doc_id: r for r in linededup.without_repeats(docs).collect()}
     for i, t in rows:
         rest = "\n".join(x for k, x in enumerate((t or "").split("\n")) if (i, k) not in got)
@@ -274,6 +296,34 @@ def test_line_dedup(spark, corpus):
     assert linededup.without_repeats(docs_of(spark, ["same line here", "same line here"], [3, 3])).count() == 2
 
 
+def test_line_dedup_of_chains(spark):
+    """Lines of which each is one word from the one before: of 1, 2, 3, 4 the first and the third stay."""
+    chain = [" ".join([*(f"n{j}" for j in range(i)), *BASE[i:]]) for i in range(9)]
+    rows = list(enumerate([*chain, chain[3], chain[2], chain[2] + "\n" + chain[5], *chain[::-1]]))
+    _, found = check_lines(spark, rows)
+    assert {(r.doc_id, r.line) for r in found if r.doc_id < 9} == {(1, 0), (3, 0), (5, 0), (7, 0)}
+    far = [[f"w{i}" for i in range(60)]]
+    for i in range(8):  # three words a step: the bound of 60 words is three
+        far.append([f"x{i}" if at in (i * 7, i * 7 + 1, i * 7 + 2) else x for at, x in enumerate(far[-1])])
+    rng = random.Random(3)
+    order = rng.sample(range(len(far)), len(far))
+    for lines in (far, [far[i] for i in order]):
+        check_lines(spark, list(enumerate(" ".join(x) for x in lines)))
+
+
+def test_line_dedup_classes_of_lengths(spark):
+    """One edit at any place of lines of any length, at the edges of the classes of lengths too."""
+    rows = []
+    for n in (7, 8, 9, 11, 12, 13, 17, 18, 19, 26, 27, 28, 38, 39):
+        line = [f"v{n}x{i}" for i in range(n)]
+        for at in (0, n // 3, n // 2, n - 1):
+            own = [f"{x}y{at}" for x in line]
+            for other in (own[:at] + own[at + 1 :], own[:at] + ["q"] + own[at + 1 :], own[:at] + ["q"] + own[at:]):
+                pair = [" ".join(own), " ".join(other)]
+                rows += [(len(rows) + k, "\n".join(pair[:: 1 - 2 * (len(rows) % 2)])) for k in range(1)]
+    check_lines(spark, rows)
+
+
 def test_line_dedup_of_short_lines(spark):
     texts = ["a b\nx", "A, b!\n...\ny", "x", "...\n\n \nnot here", "中文没有空格\na b c", "中文没有空格。", "1\n1", "a"]
     docs = docs_of(spark, texts)
@@ -300,27 +350,28 @@ def test_line_dedup_bound_grows(spark, corpus, monkeypatch):
     base = [f"c{i}" for i in range(60)]
     made += [" ".join(f"d{rng.randint(0, 99)}" if i in at else x for i, x in enumerate(base)) for at in (rng.sample(range(60), rng.randint(1, 3)) for _ in range(40))]
     rng.shuffle(made)
-    made += [LONG, LONG + "q r s", "\n".join(made[:5])]
+    made += [LONG, LONG, LONG[:8000], LONG[:8000] + " q r s", "\n".join(made[:5])]
     rows = list(enumerate(made)) + [(i + 1000, t) for i, t in corpus[:60]]
-    lines = [(i, k, x.split()) for i, t in sorted(rows) for k, x in linededup.lines_of(t or "")]
-    want = {}
-    for n, (i, k, w) in enumerate(lines):
-        for _, _, v in lines[:n]:
-            most = max(1, min(len(w), len(v)) // 20) if min(len(w), len(v)) >= 8 else 0
-            if v == w or (len(w) < 5000 and abs(len(v) - len(w)) <= most and len(set(w) & set(v)) >= len(set(w)) - most and word_distance(v, w) <= most):
-                want[i, k] = True
-                break
-    want[made.index(LONG + "q r s"), 0] = True
-    docs = docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
     for block in (linededup.BLOCK, 8):
         monkeypatch.setattr(linededup, "BLOCK", block)
-        found = linededup.dropped_lines(docs, grow=True).collect()
-        assert {(r.doc_id, r.line) for r in found} == set(want)
-    text = {(i, k): w for i, k, w in lines}
-    for r in found:
-        w, v = text[r.doc_id, r.line], text[r.kept_doc_id, r.kept_line]
-        assert (r.kept_doc_id, r.kept_line) < (r.doc_id, r.line) and (len(w) > 5000 or r.edits == word_distance(v, w))
-    assert any(r.edits > 1 for r in found) and linededup.dropped_lines(docs_of(spark, []), grow=True).count() == 0
+        _, found = check_lines(spark, rows)
+    assert any(r.edits > 1 for r in found)
+
+
+def test_columns_with_clashing_names(spark):
+    """Helper columns never meet the caller's, whatever these are called; values come through."""
+    more = ["own_hash", "gone", "gone_id", "gone_hash", "keep_id", "keep_hash", "doc_hash", "GONE_", "x", "key", "rank", "line", "h1", "score", "n"]
+    rows = [(i, t, None, "s", None, *(f"{c}{i}" for c in more)) for i, t in enumerate(["a b c d\nsame line", "same line\nother text here", None, "a b c d e f", "a b c d e f", ""])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in more))
+    bench = spark.createDataFrame([(1, "nothing of this kind")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    outs = [linededup.without_repeats(docs), ngramjoin.one_of_each(docs), decontaminate.clean(docs, bench), quality.accepted(docs, labels, threshold=0.0)]
+    for out in outs:
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in more)
+    for f in (spotsigs.with_edits, licenses.scan, linededup.dropped_lines, ngramjoin.classes):
+        f(docs).collect()
 
 
 # 6
