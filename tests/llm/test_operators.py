@@ -231,6 +231,41 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def packed(*records):
+    return zlib.compress(b"".join(records), 6, 31)
+
+
+def plain_record(head, body):
+    return head + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_warc_headers_of_any_length(spark):
+    rows = [(i, "http://h/" + "".join(random.Random(i).choices("abcdef0123456789", k=n)), f"<p>{i}</p>") for i, n in enumerate([200_000] * 12 + [3_000_000] * 2 + [5])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = common.shared_dir(spark)
+    manifest = warc.write(pages, folder)
+    for split in (5000, 8 << 20):
+        got = warc.complete(warc.read(spark, folder, manifest, split), manifest).collect()
+        assert sorted((r.page_id, r.url) for r in got) == [(i, u) for i, u, _ in rows]
+    with pytest.raises(ValueError, match="written"):
+        warc.complete(warc.read(spark, folder, manifest).where("page_id > 0"), manifest)
+
+
+def test_warc_members_of_others():
+    info = plain_record(b"WARC/1.0\r\nWARC-Type: warcinfo\r\ncontent-length:5", b"hello")
+    two = plain_record(b"WARC/1.1\r\nwarc-type:response\r\nContent-Type: application/http; msgtype=response\r\nX-Long: a\r\n b\r\nCONTENT-LENGTH: 24", b"HTTP/1.1 200 OK\r\n\r\n<p/>x")
+    data = packed(info, two, info) + packed(two) + packed(info)
+    for step in (7, 64, 1 << 20):
+        found = [r for at in range(0, len(data), step) for r in warc.scan(__import__("io").BytesIO(data), at, at + step)]
+        assert [r["size"] for r in found] == [5, 5, 5, 5, 5] and found[1]["x-long"] == "a b"
+        assert found[1]["sha1"] == base64.b32encode(hashlib.sha1(b"<p/>x").digest()).decode()
+    io = __import__("io")
+    for broken in (packed(info) + b"junk" + packed(two), packed(info)[:-9], packed(info) + packed(b"WARC/1.0\r\nno: end"), packed(info) + packed(b"WARC/1.0\r\nno: length\r\n\r\n"), packed(info[:-6])):
+        with pytest.raises(ValueError):
+            list(warc.scan(io.BytesIO(broken), 0, len(broken)))
+    assert list(warc.scan(io.BytesIO(packed(info)), 1, 99)) == []
+
+
 # 5
 
 
