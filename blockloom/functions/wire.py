@@ -67,7 +67,7 @@ def all_zero(b: Column) -> Column:
 
 
 def megabytes(size: Column) -> Column:
-    return F.floor(size / (1 << 20)).cast("long")
+    return F.shiftright(size.cast("long"), 20)
 
 
 def parse_int(text: Column) -> Column:
@@ -82,3 +82,7 @@ def is_ipv4(text: Column) -> Column:
 def require(condition: Column, message: str) -> Column:
     """Null where the condition holds; fails the query otherwise."""
     return F.assert_true(condition, message)
+
+
+#: The operations that a client encodes; of others the header stays zero.
+CLIENT_OPS = ("NO_OP", "CONNECT", "READ", "WRITE", "DISCONNECT", "WRITE_PUNCH_HOLE")

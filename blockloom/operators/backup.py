@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 
 def compare(last: DataFrame, now: DataFrame) -> DataFrame:
-    """path and status (new, gone, changed, same) of every file in either list of path, fp."""
-    both = now.select("path", F.col("fp").alias("new_fp")).join(last.select("path", F.col("fp").alias("old_fp")), "path", "full_outer")
-    status = F.when(F.col("old_fp").isNull(), "new").when(F.col("new_fp").isNull(), "gone").when(F.col("old_fp").eqNullSafe(F.col("new_fp")), "same").otherwise("changed")
+    """path and status (new, gone, changed, same) of every file in either list of path, fp. A null fp is a value like others."""
+    own, old = now.select("path", F.col("fp").alias("new_fp"), F.lit(True).alias("here")), last.select("path", F.col("fp").alias("old_fp"), F.lit(True).alias("there"))
+    both = own.join(old, "path", "full_outer")
+    status = F.when(F.col("there").isNull(), "new").when(F.col("here").isNull(), "gone").when(F.col("old_fp").eqNullSafe(F.col("new_fp")), "same").otherwise("changed")
     return both.select("path", status.alias("status"))
 
 
 def delta(last: DataFrame, now: DataFrame) -> DataFrame:
-    """Blocks of now (ino, fbn, fp) that the last image doesn't hold at the same place."""
+    """Blocks of now (ino, fbn, fp) that the last image doesn't hold at the same place. A null fp is never known: it is copied."""
     return now.join(last.select("ino", "fbn", "fp"), ["ino", "fbn", "fp"], "left_anti")
 
 
@@ -30,3 +31,27 @@ def numbered(jobs: DataFrame) -> DataFrame:
 
 def next_number(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("task").agg((F.max("jobnum") + 1).alias("next"))
+
+
+def clone_last(jobs: DataFrame) -> DataFrame:
+    """task, job_id (the new one) and backing (the last one) of the image that each task's next job starts from: one row of metadata."""
+    return jobs.groupBy("task").agg((F.max("jobnum") + 1).alias("jobnum"), F.max_by("job_id", "jobnum").alias("backing"))
+
+
+def details(jobs: DataFrame, task: int) -> DataFrame:
+    return jobs.where(F.col("task") == task)
+
+
+def delete_task(jobs: DataFrame, task: int) -> DataFrame:
+    return jobs.where(~F.col("task").eqNullSafe(F.lit(task)))
+
+
+def scrubbed(blocks: DataFrame) -> DataFrame:
+    """Blocks whose data no longer have the fingerprint that is recorded."""
+    return blocks.where(~F.col("fp").eqNullSafe(F.md5("data")))
+
+
+def task_sizes(copied: DataFrame) -> DataFrame:
+    """task, logical (all blocks copied) and physical (each distinct block once) of task, fp, len."""
+    per = copied.groupBy("task", "fp").agg(F.count("*").alias("n"), F.max("len").alias("len"))
+    return per.groupBy("task").agg(F.sum(F.col("n") * F.col("len")).alias("logical"), F.sum("len").alias("physical"))

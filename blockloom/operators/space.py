@@ -14,11 +14,18 @@ def summary(blocks: DataFrame, capacity: int) -> DataFrame:
 
 
 def by_volume(blocks: DataFrame) -> DataFrame:
-    """fsid (null: all together), logical, physical: distinct blocks count once in each volume, and once overall."""
+    """fsid, is_total, logical, physical: distinct blocks count once in each volume, and once in the row of the total (1; fsid null)."""
     per = blocks.groupBy("fsid", "fp").agg(F.count("*").alias("n"), F.max("len").alias("len"))
     each = per.groupBy("fsid").agg(F.sum(F.col("n") * F.col("len")).alias("logical"), F.sum("len").alias("physical"))
     over = per.groupBy("fp").agg(F.sum("n").alias("n"), F.max("len").alias("len")).agg(F.sum(F.col("n") * F.col("len")).alias("logical"), F.sum("len").alias("physical"))
-    return each.unionByName(over.select(F.lit(None).cast("int").alias("fsid"), "logical", "physical"))
+    total = over.select(F.lit(None).cast("int").alias("fsid"), F.lit(1).alias("is_total"), "logical", "physical")
+    return each.select("fsid", F.lit(0).alias("is_total"), "logical", "physical").unionByName(total)
+
+
+def sizes(blocks: DataFrame, capacity: int) -> DataFrame:
+    """name and bytes of the virtual disk, of its free space, and of what a file browser sees (all files at full length)."""
+    rows = "stack(3, 'virtual_disk', capacity, 'free', free, 'visible', logical) as (name, bytes)"
+    return summary(blocks, capacity).select(F.expr(rows))
 
 
 def per_drive(messages: DataFrame) -> DataFrame:

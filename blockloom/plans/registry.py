@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.functions import wire
-from blockloom.operators import backup, blocks, dedupe, device, space, volumes
+from blockloom.operators import backup, blocks, dedupe, device, order, space, volumes
+from blockloom.sources import container
+from blockloom.sources.shared import materialise, shared_folder
+from blockloom.sources.store import Store
 from blockloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,8 +57,21 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     return blocks.files_of(table(spark, d, "documents"))
 
 
+_STORES: dict[tuple[str, str], Store] = {}
+
+
+def stored(spark: SparkSession, d: str) -> Store:
+    """The tables' files as the engine holds them: cut, numbered and written once in a session, sorted and partitioned for its queries."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORES:
+        store = Store(spark, shared_folder(spark))
+        store.publish(blockmap=blocks.blocks(files(spark, d)))
+        _STORES[key] = store
+    return _STORES[key]
+
+
 def all_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.blocks(files(spark, d))
+    return stored(spark, d).read("blockmap")
 
 
 def clog(spark: SparkSession, d: str) -> DataFrame:
@@ -70,6 +86,17 @@ def vols(spark: SparkSession, d: str) -> DataFrame:
     return volumes.volumes_of(table(spark, d, "nation"))
 
 
+def log_of(every: DataFrame) -> DataFrame:
+    """Blocks as entries of the changelog."""
+    return every.select(F.col("dbn").alias("seq"), F.lit(0).alias("ts"), F.lit("WRITE").alias("op"), "fsid", "ino", "fbn", "dbn", "fp")
+
+
+def opened(spark: SparkSession, d: str) -> Store:
+    """A store of its own, before a dedupe run: the map of all blocks, the changelog and the database of parts()."""
+    every, log, base = parts(spark, d)
+    return dedupe.opened(Store(spark, shared_folder(spark)), every.drop("data"), log_of(log), base)
+
+
 def inodes(spark: SparkSession, d: str) -> DataFrame:
     return blocks.inodes(files(spark, d))
 
@@ -90,7 +117,7 @@ def blocks_of_documents(spark, d):
 
 @query("SELECT doc_id AS ino, md5(text) AS fp FROM documents WHERE length(text) > 0")
 def file_reassemble(spark, d):
-    return blocks.reassemble(blocks.block_data(files(spark, d)))
+    return blocks.reassemble(all_blocks(spark, d))
 
 
 _SUMMARY = f"""WITH {_BLOCKS}, per AS (SELECT fp, count(*) AS n, max(len) AS len FROM blocks GROUP BY fp)
@@ -104,8 +131,8 @@ def space_summary(spark, d):
 
 
 _BY_VOLUME = f"""WITH {_BLOCKS}, per AS (SELECT fsid, fp, count(*) AS n, max(len) AS len FROM blocks GROUP BY fsid, fp)
-SELECT fsid, CAST(sum(n * len) AS BIGINT) AS logical, CAST(sum(len) AS BIGINT) AS physical FROM per GROUP BY fsid
-UNION ALL SELECT NULL, CAST(sum(n * len) AS BIGINT), CAST(sum(len) AS BIGINT) FROM (SELECT fp, sum(n) AS n, max(len) AS len FROM per GROUP BY fp)"""
+SELECT fsid, CAST(0 AS INTEGER) AS is_total, CAST(sum(n * len) AS BIGINT) AS logical, CAST(sum(len) AS BIGINT) AS physical FROM per GROUP BY fsid
+UNION ALL SELECT NULL, 1, CAST(sum(n * len) AS BIGINT), CAST(sum(len) AS BIGINT) FROM (SELECT fp, sum(n) AS n, max(len) AS len FROM per GROUP BY fp)"""
 
 
 @query(_BY_VOLUME)
@@ -113,6 +140,12 @@ def space_by_volume(spark, d):
     return space.by_volume(all_blocks(spark, d))
 
 
+@query(f"""WITH {_BLOCKS}, s AS (SELECT (SELECT CAST(sum(len) AS BIGINT) FROM blocks) AS l, (SELECT CAST(sum(len) AS BIGINT) FROM (SELECT max(len) AS len FROM blocks GROUP BY fp)) AS p)
+SELECT 'virtual_disk' AS name, CAST({CAPACITY} AS BIGINT) AS bytes FROM s UNION ALL SELECT 'free', CAST({CAPACITY} - p AS BIGINT) FROM s UNION ALL SELECT 'visible', l FROM s""")
+def space_sizes(spark, d):
+    return space.sizes(all_blocks(spark, d), CAPACITY)
+
+
 @query(f"WITH {_BLOCKS} SELECT fp, count(*) AS n FROM blocks GROUP BY fp HAVING count(*) > 1")
 def fp_duplicates(spark, d):
     return all_blocks(spark, d).groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
@@ -131,6 +164,26 @@ def clog_clean(spark, d):
     return dedupe.newest(clog(spark, d), "ino", "fbn").select("seq", "op", "ino", "fbn", "dbn")
 
 
+@query(f"WITH {_CLOG} SELECT seq, row_number() OVER (PARTITION BY ino, fbn ORDER BY ts, seq) > 1 AS overwritten FROM clog")
+def clog_overwritten(spark, d):
+    return dedupe.overwritten(clog(spark, d), "ino", "fbn").select("seq", "overwritten")
+
+
+@query(f"WITH {_CLOG} SELECT ino, fbn, seq, row_number() OVER (ORDER BY ino, fbn, seq) AS pos FROM clog")
+def sort_ino_fbn(spark, d):
+    return order.placed(clog(spark, d).select("ino", "fbn", "seq"), "ino", "fbn", "seq")
+
+
+@query(f"WITH {_BLOCKS} SELECT dbn, row_number() OVER (ORDER BY dbn) AS pos FROM blocks")
+def sort_dbn(spark, d):
+    return order.placed(all_blocks(spark, d).select("dbn"), "dbn")
+
+
+@query(f"WITH {_BLOCKS} SELECT fp, dbn, row_number() OVER (ORDER BY fp, dbn) AS pos FROM blocks")
+def sort_fp(spark, d):
+    return order.placed(all_blocks(spark, d).select("fp", "dbn"), "fp", "dbn")
+
+
 @query(f"WITH {_CLOG} SELECT seq, ino, fbn, dbn FROM clog c WHERE EXISTS (SELECT 1 FROM clean m WHERE m.op = 'WRITE' AND m.ino = c.ino AND m.fbn = c.fbn AND m.dbn = c.dbn)")
 def clog_live(spark, d):
     log = clog(spark, d)
@@ -170,7 +223,7 @@ def fpdb_merged(spark, d):
 @query(f"WITH {_DEDUPE} SELECT * FROM after")
 def blockmap_shared(spark, d):
     every, log, base = parts(spark, d)
-    return dedupe.shared(every, dedupe.script(log, base))
+    return dedupe.shared(every, dedupe.script(log, base)).select("fsid", "ino", "fbn", "dbn")
 
 
 @query(f"WITH {_DEDUPE}, one AS (SELECT dbn FROM after GROUP BY dbn HAVING count(*) = 1) SELECT fsid, ino, fbn, dbn FROM after WHERE dbn IN (SELECT dbn FROM one)")
@@ -187,11 +240,66 @@ def freed_blocks(spark, d):
     return dedupe.freed(made, dedupe.shared(every, made))
 
 
-@query(f"WITH {_DEDUPE} SELECT dbn FROM after WHERE fsid = 0 INTERSECT SELECT dbn FROM after WHERE fsid = 1")
+_PAIR = f"""{_DEDUPE}, two AS (SELECT a.fsid AS a, b.fsid AS b FROM (SELECT DISTINCT fsid, dbn FROM after) a JOIN (SELECT DISTINCT fsid, dbn FROM after) b ON a.dbn = b.dbn AND a.fsid < b.fsid
+GROUP BY 1, 2 ORDER BY count(*) DESC, 1, 2 LIMIT 1)"""
+
+
+@query(f"WITH {_PAIR} SELECT dbn FROM after, two WHERE fsid = a INTERSECT SELECT dbn FROM after, two WHERE fsid = b")
 def shared_between_volumes(spark, d):
+    """The blocks that two volumes share, of the two that share most."""
     every, log, base = parts(spark, d)
-    after = dedupe.shared(every, dedupe.script(log, base))
-    return after.where("fsid = 0").select("dbn").intersect(after.where("fsid = 1").select("dbn"))
+    after = materialise(dedupe.shared(every, dedupe.script(log, base)).select("fsid", "dbn").distinct())
+    pairs = after.withColumnRenamed("fsid", "a").join(after.withColumnRenamed("fsid", "b"), "dbn").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    most = pairs.orderBy(F.desc("n"), "a", "b").first()
+    a, b = (most.a, most.b) if most else (0, 1)
+    return dedupe.shared_by(after, a, b)
+
+
+# the whole run over a store
+
+
+@query(f"WITH {_DEDUPE} SELECT fsid, ino, fbn, dbn FROM after")
+def dedupe_run(spark, d):
+    store = opened(spark, d)
+    dedupe.run(store)
+    return store.read("blockmap").select("fsid", "ino", "fbn", "dbn")
+
+
+@query(f"WITH {_DEDUPE} SELECT dbn, count(*) AS n FROM after GROUP BY dbn")
+def dedupe_run_refcounts(spark, d):
+    store = opened(spark, d)
+    dedupe.run(store)
+    return store.read("refcounts")
+
+
+@query(f"WITH {_DEDUPE} SELECT (SELECT count(*) FROM script) AS first, CAST(0 AS BIGINT) AS second, (SELECT count(*) FROM after) AS blocks")
+def dedupe_rerun_empty(spark, d):
+    """Blocks that a run re-points, and a second one over what the first left."""
+    store = opened(spark, d)
+    made = [dedupe.run(store), dedupe.run(store)]
+    return store.read("blockmap").agg(F.count("*").alias("blocks")).select(F.lit(made[0]).cast("long").alias("first"), F.lit(made[1]).cast("long").alias("second"), "blocks")
+
+
+@query("SELECT doc_id AS ino, md5(text) AS fp FROM documents WHERE length(text) > 0")
+def dedupe_content_unchanged(spark, d):
+    """The files, read through the map that a run left and the blocks as they were written."""
+    store = opened(spark, d)
+    dedupe.run(store)
+    data = all_blocks(spark, d).select("dbn", "data")
+    return blocks.reassemble(store.read("blockmap").select("ino", "fbn", "dbn").join(data, "dbn"))
+
+
+@query(f"""WITH {_DEDUPE}, one AS (SELECT dbn FROM after GROUP BY dbn HAVING count(*) = 1), merged AS (SELECT fp, dbn FROM fpdb UNION ALL SELECT fp, donor FROM donors WHERE NOT old),
+clog2 AS (SELECT b.fsid, b.ino, b.fbn, a.dbn, b.fp FROM blocks b JOIN after a ON a.ino = b.ino AND a.fbn = b.fbn WHERE a.dbn IN (SELECT dbn FROM one)),
+donors2 AS (SELECT c.fp, coalesce(f.dbn, c.least) AS donor FROM (SELECT fp, min(dbn) AS least FROM clog2 GROUP BY fp) c LEFT JOIN merged f ON c.fp = f.fp)
+SELECT fsid, ino, fbn, dbn AS old_dbn, donor AS new_dbn FROM clog2 JOIN donors2 USING (fp) WHERE dbn <> donor""")
+def dedupe_run_ignore_shared(spark, d):
+    """The script of a second run, with every block in the changelog, that leaves shared blocks out."""
+    store = opened(spark, d)
+    dedupe.run(store)
+    store.publish(clog=log_of(store.read("blockmap")))
+    dedupe.run(store, ignore_shared_=True)
+    return store.read("script")
 
 
 # references
@@ -230,7 +338,7 @@ def volume_tree(spark, d):
 
 @query(f"WITH RECURSIVE {_UP} SELECT fsid, ancestor, depth FROM up")
 def volume_ancestry(spark, d):
-    return volumes.ancestry(vols(spark, d))
+    return volumes.ancestry(vols(spark, d)).select("fsid", "ancestor", "depth")
 
 
 @query(f"""WITH RECURSIVE {_UP}, m AS (SELECT CAST(c_nationkey + 1 AS INTEGER) AS fsid, c_custkey % 50 AS ino, CAST(0 AS BIGINT) AS fbn, max(c_custkey) AS dbn FROM customer GROUP BY 1, 2)
@@ -240,6 +348,89 @@ def clone_resolve(spark, d):
     return volumes.resolve(own, vols(spark, d))
 
 
+_MADE = "v2 AS (SELECT fsid, name, backing_fsid, CAST(fsid * 5 AS BIGINT) AS made FROM volumes)"
+_SEEN = f"""{_VOLUMES}, {_MADE}, entries AS (SELECT c_custkey AS seq, CAST(c_nationkey + 1 AS INTEGER) AS fsid, c_custkey % 7 AS ino, CAST(c_custkey % 3 AS BIGINT) AS fbn, CASE WHEN c_custkey % 11 = 0 THEN 0 ELSE c_custkey END AS dbn FROM customer),
+up AS (SELECT fsid, fsid AS ancestor, 0 AS depth, CAST(9223372036854775807 AS BIGINT) AS upto FROM v2
+UNION ALL SELECT u.fsid, v.backing_fsid, u.depth + 1, least(u.upto, v.made) FROM up u JOIN v2 v ON v.fsid = u.ancestor WHERE v.backing_fsid <> 0),
+seen AS (SELECT u.fsid, e.ino, e.fbn, e.dbn FROM up u JOIN entries e ON e.fsid = u.ancestor AND e.seq <= u.upto QUALIFY row_number() OVER (PARTITION BY u.fsid, e.ino, e.fbn ORDER BY u.depth, e.seq DESC) = 1)"""
+
+
+def versioned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Entries with sequence numbers and holes, and volumes that were made at some of them."""
+    k = F.col("c_custkey")
+    dbn = F.when(k % 11 == 0, F.lit(0)).otherwise(k).cast("long")
+    entries = table(spark, d, "customer").select(k.alias("seq"), (F.col("c_nationkey") + 1).cast("int").alias("fsid"), (k % 7).alias("ino"), (k % 3).cast("long").alias("fbn"), dbn.alias("dbn"))
+    return entries, vols(spark, d).withColumn("made", (F.col("fsid") * 5).cast("long"))
+
+
+@query(f"WITH RECURSIVE {_SEEN} SELECT fsid, ino, fbn, dbn FROM seen")
+def snapshot_isolated(spark, d):
+    """Each volume as it reads: what its ancestors wrote after it was made isn't seen."""
+    return volumes.resolve(*versioned(spark, d)).select("fsid", "ino", "fbn", "dbn")
+
+
+@query(f"WITH RECURSIVE {_SEEN} SELECT fsid, ino, fbn, dbn FROM seen WHERE fsid = 20 AND dbn <> 0")
+def open_volume(spark, d):
+    entries, every = versioned(spark, d)
+    volumes.open_volume(entries, every, 20, "blockloom_volume")
+    return spark.table("blockloom_volume").select(F.lit(20).alias("fsid"), "ino", "fbn", "dbn")
+
+
+@query(f"WITH {_VOLUMES} SELECT fsid, name, backing_fsid, CAST(NULL AS BIGINT) AS made FROM volumes UNION ALL SELECT 100, 'before-upgrade', 3, 77")
+def snapshot_create(spark, d):
+    return volumes.snapshot(vols(spark, d), 3, 100, "before-upgrade", 77)
+
+
+@query(f"""WITH {_VOLUMES}, m AS (SELECT CAST(c_nationkey + 1 AS INTEGER) AS fsid, c_custkey % 97 AS dbn FROM customer), gone AS (SELECT fsid FROM volumes WHERE fsid % 3 = 0 AND fsid NOT IN (SELECT backing_fsid FROM volumes))
+SELECT DISTINCT dbn FROM m WHERE dbn NOT IN (SELECT dbn FROM m WHERE fsid IN (SELECT fsid FROM volumes) AND fsid NOT IN (SELECT fsid FROM gone))""")
+def delete_frees(spark, d):
+    every = vols(spark, d)
+    own = table(spark, d, "customer").select((F.col("c_nationkey") + 1).cast("int").alias("fsid"), (F.col("c_custkey") % 97).alias("dbn"))
+    return volumes.freed_by(every, every.where("fsid % 3 = 0"), own)
+
+
+_LUNS = "luns AS (SELECT s_suppkey AS drive_id, CAST(s_suppkey * 1000000 AS BIGINT) AS size, CASE WHEN s_suppkey % 2 = 0 THEN 'mounted' ELSE 'unmounted' END AS state, CAST(NULL AS BIGINT) AS backing FROM supplier)"
+
+
+@query(f"WITH {_LUNS} SELECT drive_id, size, CASE WHEN drive_id = 2 THEN 'unmounted' ELSE state END AS state, backing FROM luns WHERE drive_id <> 3 UNION ALL SELECT 5000, size, 'unmounted', 1 FROM luns WHERE drive_id = 1")
+def lun_lifecycle(spark, d):
+    """A clone of LUN 1; LUN 2 unmounted; LUN 3 deleted; LUN 1 and 4 can't be, as a clone stands on the one and the other is mounted."""
+    k = F.col("s_suppkey")
+    luns = table(spark, d, "supplier").select(k.alias("drive_id"), (k * 1_000_000).cast("long").alias("size"), F.when(k % 2 == 0, "mounted").otherwise("unmounted").alias("state"), F.lit(None).cast("long").alias("backing"))
+    luns = volumes.set_lun_state(volumes.clone_lun(luns, 1, 5000), 2, "unmounted")
+    for drive_id in (1, 3, 4):
+        luns = volumes.delete_lun(luns, drive_id)
+    return luns
+
+
+@query(f"WITH {_INODES} SELECT fsid, ino, CASE WHEN path = '/vol3/0' OR starts_with(path, '/vol3/0/') THEN '/vol3/zero' || substr(path, 8) ELSE path END AS path FROM inodes WHERE NOT starts_with(path, '/vol1/') AND path <> '/vol1'")
+def rename_and_delete(spark, d):
+    return volumes.remove(volumes.rename(inodes(spark, d), "/vol3/0", "zero"), "/vol1").select("fsid", "ino", "path")
+
+
+@query(f"WITH {_INODES} SELECT DISTINCT '/vol' || fsid AS path FROM inodes UNION SELECT '/vol3/new'")
+def new_folder(spark, d):
+    folders = inodes(spark, d).select(F.concat(F.lit("/vol"), "fsid").alias("path")).distinct()
+    return volumes.new_folder(volumes.new_folder(folders, "/vol3/new"), "/vol3/new")
+
+
+@query(f"WITH RECURSIVE {_VOLUMES}, p AS (SELECT fsid AS ino, '/' || name AS path FROM volumes WHERE backing_fsid = 0 UNION ALL SELECT v.fsid, p.path || '/' || v.name FROM volumes v JOIN p ON v.backing_fsid = p.ino) SELECT ino, path FROM p")
+def inode_paths(spark, d):
+    return blocks.paths(vols(spark, d).select(F.col("fsid").alias("ino"), F.col("backing_fsid").alias("parent"), "name"))
+
+
+@query(f"WITH {_CLOG} SELECT ino AS fsid, max(ts) AS last_refreshed FROM clog GROUP BY ino")
+def volume_refreshed(spark, d):
+    return volumes.refreshed(clog(spark, d).withColumn("fsid", F.col("ino")))
+
+
+@query("SELECT p_partkey AS id, CAST(p_size AS BIGINT) * 1073741824 AS bytes FROM part WHERE p_partkey % 2 = 0 AND p_size >= 1 UNION ALL SELECT p_partkey, CAST(p_size AS BIGINT) * 1099511627776 FROM part WHERE p_partkey % 2 = 1 AND p_size BETWEEN 1 AND 8")
+def container_check(spark, d):
+    k = F.col("p_partkey")
+    asked = table(spark, d, "part").select(k.alias("id"), F.lit("/data").alias("location"), F.col("p_size").alias("size"), F.when(k % 2 == 0, "GB").otherwise("TB").alias("unit"))
+    return container.valid(asked).select("id", "bytes")
+
+
 @query(f"WITH {_BLOCKS} SELECT CAST(99 AS INTEGER) AS fsid, ino + 1000000 AS ino, fbn, dbn FROM blocks WHERE fsid = 3")
 def file_clone(spark, d):
     own = files(spark, d).where("fsid = 3")
@@ -257,13 +448,13 @@ def move_directory(spark, d):
     return volumes.move(inodes(spark, d), "/vol1/", "/moved/").select("fsid", "ino", "path")
 
 
-_NEW = "new AS (SELECT p_name AS name, CAST(p_size AS INTEGER) AS backing_fsid, repeat('c', CAST(p_partkey % 1100 AS INTEGER)) AS comments FROM part)"
+_NEW = "new AS (SELECT p_name || CAST(p_partkey % 50 AS VARCHAR) AS name, CAST(p_size AS INTEGER) AS backing_fsid, repeat('c', CAST(p_partkey % 1100 AS INTEGER)) AS comments FROM part)"
 
 
-@query(f"WITH {_VOLUMES}, {_NEW} SELECT DISTINCT name, backing_fsid FROM new WHERE length(name) > 0 AND length(comments) <= 1024 AND backing_fsid IN (SELECT fsid FROM volumes) AND name NOT IN (SELECT name FROM volumes)")
+@query(f"WITH {_VOLUMES}, {_NEW} SELECT name, backing_fsid FROM new WHERE name IN (SELECT name FROM new GROUP BY name HAVING count(*) = 1) AND length(name) > 0 AND length(comments) <= 1024 AND backing_fsid IN (SELECT fsid FROM volumes) AND name NOT IN (SELECT name FROM volumes)")
 def create_volume_check(spark, d):
-    new = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_size").cast("int").alias("backing_fsid"), F.expr("repeat('c', cast(p_partkey % 1100 as int))").alias("comments"))
-    return volumes.valid_new(new, vols(spark, d)).select("name", "backing_fsid").distinct()
+    new = table(spark, d, "part").select(F.concat("p_name", (F.col("p_partkey") % 50).cast("string")).alias("name"), F.col("p_size").cast("int").alias("backing_fsid"), F.expr("repeat('c', cast(p_partkey % 1100 as int))").alias("comments"))
+    return volumes.valid_new(new, vols(spark, d)).select("name", "backing_fsid")
 
 
 @query(f"WITH {_VOLUMES} SELECT fsid, name, backing_fsid FROM volumes WHERE NOT (fsid % 3 = 0 AND fsid NOT IN (SELECT backing_fsid FROM volumes))")
@@ -274,8 +465,8 @@ def delete_volumes(spark, d):
 
 @query("SELECT o_orderkey AS fsid FROM orders WHERE o_orderdate + INTERVAL 30 DAY > TIMESTAMP '1997-01-01 00:00:00'")
 def auto_delete(spark, d):
-    due = F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")
-    return table(spark, d, "orders").where(due > F.to_timestamp(F.lit("1997-01-01 00:00:00"))).select(F.col("o_orderkey").alias("fsid"))
+    """Volumes that go 30 days after their date are alive until then: the interval is taken off the literal, so the bound reaches the scan."""
+    return volumes.alive(table(spark, d, "orders").where("o_orderdate is not null"), "1996-12-02 00:00:00", "o_orderdate").select(F.col("o_orderkey").alias("fsid"))
 
 
 @query(f"""WITH {_VOLUMES}, {_BLOCKS} SELECT v.fsid, v.name, v.backing_fsid, CAST(coalesce(s.logical, 0) AS BIGINT) AS logical FROM volumes v
@@ -331,6 +522,33 @@ def backup_job_stats(spark, d):
     return backup.job(delta_blocks(spark, d))
 
 
+@query(f"""WITH {_DELTA}, copied AS (SELECT ino % 5 AS task, fp, CAST(length(substr(text, fbn * 256 + 1, 256)) AS BIGINT) AS len FROM (SELECT l.ino, l.text, unnest(range(CAST(ceil(length(l.text) / 256.0) AS BIGINT))) AS fbn FROM last l) x, LATERAL (SELECT md5(substr(text, fbn * 256 + 1, 256)) AS fp)
+UNION ALL SELECT ino % 5, fp, len FROM delta), per AS (SELECT task, fp, count(*) AS n, max(len) AS len FROM copied GROUP BY task, fp)
+SELECT task, CAST(sum(n * len) AS BIGINT) AS logical, CAST(sum(len) AS BIGINT) AS physical FROM per GROUP BY task""")
+def backup_task_sizes(spark, d):
+    """The last image and the delta of five tasks."""
+    first = blocks.block_data(last_image(spark, d)).select("ino", F.md5("data").alias("fp"), F.length("data").cast("long").alias("len"))
+    copied = first.unionByName(delta_blocks(spark, d).select("ino", "fp", "len"))
+    return backup.task_sizes(copied.withColumn("task", F.col("ino") % 5))
+
+
+@query(f"WITH {_BLOCKS} SELECT ino, fbn FROM blocks WHERE dbn % 50 = 0")
+def backup_scrub(spark, d):
+    """Blocks of which a character has changed since their fingerprint was taken: every fiftieth."""
+    changed = all_blocks(spark, d).withColumn("data", F.when(F.col("dbn") % 50 == 0, F.concat(F.lit("\u0001"), F.expr("substring(data, 2)"))).otherwise(F.col("data")))
+    return backup.scrubbed(changed).select("ino", "fbn")
+
+
+@query("SELECT o_custkey AS task, CAST(count(*) + 1 AS INTEGER) AS jobnum, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS backing FROM orders GROUP BY o_custkey")
+def backup_clone_last(spark, d):
+    return backup.clone_last(backup_jobs(spark, d))
+
+
+@query("SELECT o_custkey AS task, o_orderkey AS job_id FROM orders WHERE o_custkey <> 7")
+def backup_delete_task(spark, d):
+    return backup.delete_task(backup_jobs(spark, d), 7).select("task", "job_id")
+
+
 @query("SELECT o_custkey AS task, o_orderkey AS job_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS jobnum FROM orders")
 def backup_jobs(spark, d):
     jobs = table(spark, d, "orders").select(F.col("o_custkey").alias("task"), F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("backup_time"))
@@ -347,7 +565,52 @@ def backup_next_job(spark, d):
 
 @query("SELECT doc_id AS ino, substr(text, 701, 1300) AS data FROM documents WHERE length(text) > 512")
 def range_read(spark, d):
-    return device.read_range(blocks.block_data(files(spark, d)), 700, 1300, blocks.BLOCK)
+    return device.read_range(all_blocks(spark, d), 700, 1300, blocks.BLOCK)
+
+
+# byte ranges: writes of 100 to 400 bytes at any place of 16 drives, a fifth of them holes, over a grid of 128
+_WRITES = """w AS (SELECT event_id AS seq, user_id % 16 AS drive, CASE WHEN event_type = 'error' THEN 'PUNCH' ELSE 'WRITE' END AS op, CAST(json_extract_string(props, '$.k') AS BIGINT) * 37 AS offset_, 100 + event_id % 4 * 100 AS size FROM events),
+bytes AS (SELECT drive, offset_ + i AS pos, CASE WHEN arg_max(op, seq) = 'PUNCH' THEN 0 ELSE 97 + (max(seq) + arg_max(i, seq)) % 26 END AS b FROM (SELECT drive, op, seq, offset_, unnest(range(size)) AS i FROM w) GROUP BY drive, offset_ + i),
+asked AS (SELECT seq AS req, drive, offset_ + 50 AS lo, size FROM w WHERE seq % 7 = 0)"""
+_READ = f"""{_WRITES}, got AS (SELECT req, a.drive, string_agg(printf('%02X', CAST(coalesce(b.b, 0) AS INTEGER)), '' ORDER BY a.pos) AS data FROM (SELECT req, drive, unnest(range(lo, lo + size)) AS pos FROM asked) a
+LEFT JOIN bytes b ON b.drive = a.drive AND b.pos = a.pos GROUP BY req, a.drive)"""
+
+
+def writes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    size = (F.lit(100) + F.col("event_id") % 4 * 100).cast("int")
+    letters = F.expr("encode(array_join(transform(sequence(0, 399), i -> char(cast(97 + (event_id + i) % 26 as int))), ''), 'UTF-8')")
+    return table(spark, d, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 16).alias("drive"), F.when(F.col("event_type") == "error", "PUNCH").otherwise("WRITE").alias("op"), (k * 37).alias("offset"), size.alias("size"), letters.alias("payload"))
+
+
+@query(f"WITH {_READ} SELECT req, drive, data FROM got")
+def device_read_after_writes(spark, d):
+    every = writes(spark, d)
+    asked = every.where("seq % 7 = 0").select(F.col("seq").alias("req"), "drive", (F.col("offset") + 50).alias("offset"), "size")
+    return device.read_bytes(asked, device.block_image(every, 128), 128).select("req", "drive", F.hex("data").alias("data"))
+
+
+@query(f"WITH {_READ} SELECT req, drive, upper(md5(unhex(data))) AS md5 FROM got")
+def device_read_checked(spark, d):
+    every = writes(spark, d)
+    asked = every.where("seq % 7 = 0").select(F.col("seq").alias("req"), "drive", (F.col("offset") + 50).alias("offset"), "size")
+    sizes = every.groupBy("drive").agg((F.max(F.col("offset") + F.col("size")) + 1000).alias("drive_size"))
+    return device.read_checked(asked, device.block_image(every, 128), sizes, 128).select("req", "drive", "md5")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS seq_num FROM events")
+def wire_stamped(spark, d):
+    """Sequence numbers from 0 in the order of time."""
+    events = table(spark, d, "events")
+    sent = device.messages_of(events).join(events.select("event_id", "ts"), F.col("seq_num") == F.col("event_id"))
+    return device.stamped(sent, "ts", "event_id").select("event_id", "seq_num")
+
+
+@query("SELECT seq_num, prior FROM (SELECT event_id AS seq_num, lag(event_id) OVER (PARTITION BY CAST(user_id AS INTEGER) ORDER BY ts, event_id) AS prior FROM events) WHERE prior >= seq_num")
+def wire_out_of_order(spark, d):
+    events = table(spark, d, "events")
+    sent = device.messages_of(events).join(events.select("event_id", "ts"), F.col("seq_num") == F.col("event_id")).withColumnRenamed("event_id", "at")
+    return device.out_of_order(sent).select("seq_num", "prior")
 
 
 @query(f"WITH {_CLOG} SELECT ino, fbn, CASE WHEN op = 'PUNCH' THEN 0 ELSE dbn END AS dbn FROM clean")
@@ -463,10 +726,9 @@ def dir_listing(spark, d):
 @query(f"WITH {_CLOG} SELECT seq, op, ino, fbn, dbn FROM clean")
 def stream_clog_current(spark, d):
     """The changelog as a stream of files; the last writer of each block after all of them."""
-    from blockloom.sources.shared import shared_folder
     from blockloom.streaming import clog as stream
 
     folder = shared_folder(spark)
-    events = stream.source(spark, f"{d}/events[.]parquet", table(spark, d, "events").schema)
-    stream.keep_current(dedupe.clog_of_events(events), folder).awaitTermination()
-    return stream.current(spark, folder).select("seq", "op", "ino", "fbn", "dbn")
+    log = dedupe.clog_of_events(stream.source(spark, f"{d}/events[.]parquet", table(spark, d, "events").schema))
+    stream.keep_current(log, folder).awaitTermination()
+    return stream.current(spark, folder, log.schema).select("seq", "op", "ino", "fbn", "dbn")

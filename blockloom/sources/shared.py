@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,3 +18,16 @@ def shared_folder(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="blockloom-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/blockloom-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: cuts lineage, survives lost executors."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Removes a folder through Spark's file systems; whether there was one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
