@@ -492,13 +492,50 @@ def test_label_model_knows_copies():
     seen = Counter()
     for _ in range(4000):
         y = rng.random() < 0.3
-        a = "1" if y and rng.random() < 0.9 else "0"
-        b = "1" if y and rng.random() < 0.8 else "0"
-        seen[a + a + b + "0" * (toxicity.VOTERS - 4) + ("0" if "1" in a + b else "-")] += 1
-    key = next(iter(seen))
-    model = toxicity.LabelModel({k: float(n) for k, n in seen.items()}, 0.3, {key: (0.0, 0.0)})
-    assert model.weight[0] < model.weight[3] and model.accuracies[2] > 0.9
-    assert model.posterior("11" + "1" + "0" * (toxicity.VOTERS - 3)) > 0.9 if "11" + "1" + "0" * (toxicity.VOTERS - 3) in model.logit else True
+        a, b, c = ("1" if rng.random() < (p if y else q) else "0" for p, q in ((0.9, 0.01), (0.8, 0.02), (0.7, 0.01)))
+        seen[a + a + b + c + "0" * (toxicity.VOTERS - 5) + ("0" if "1" in a + b + c else "-")] += 1
+    model = toxicity.LabelModel({k: float(n) for k, n in seen.items()}, 0.3, {})
+    assert model.weight[0] < model.weight[2] and model.weight[0] < model.weight[3] and min(model.accuracies[:4]) > 0.9
+    both = "1111" + "0" * (toxicity.VOTERS - 4)
+    assert both in model.logit and model.posterior(both) > 0.9 and model.posterior("0" * (toxicity.VOTERS - 1) + "-") < 0.2
+
+
+def test_voters():
+    of = toxicity.Voters([]).votes
+    names = {"You are such an idiot!": "en", "Du bist ein Trottel": "de", "espèce de connard": "fr", "eres un payaso": "es"}
+    for i, text in enumerate(names):
+        assert of(text.encode())[i] == "1" and of(text.encode())[13] == "0"
+    assert of(b"You are such an idiot")[4] == "1" and of(b"an idiot spoke")[4] == "0"
+    assert of(b"THIS IS LOUD and so on")[5] == "1" and of(b"what!! really!!!")[6] == "1" and of(b"an id1ot here")[7] == "1" and of(b"word1 2word.x")[7] == "0"
+    assert of(b"stupid loser")[8] == "1" and of(b"he is not stupid")[14] == "-" and of(b"he is stupid")[14] == "0"
+    assert of(b"") == of(b"a plain text") == "0" * 13 + "-0"
+
+
+def test_toxicity_rests_on_the_label_model(spark, monkeypatch):
+    """Insults that no label knows are found; without posteriors nothing is."""
+    rng = random.Random(5)
+    words = [f"w{i}x" for i in range(300)]
+    texts = []
+    for i in range(600):
+        own = rng.choices(words, k=30)
+        if i % 6 == 0:
+            own[5:8] = ["you", rng.choice(["stupid", "worthless", "pathetic"]), "grobnik"]
+        texts.append(" ".join(own))
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(0, 120)], "doc_id long, toxic int")
+    docs = docs_of(spark, [*texts, "a grobnik came", "a loser came"])
+    run = lambda: {r.doc_id: r for r in toxicity.toxicity_scores(docs, labels).collect()}
+    got = run()
+    assert all(got[i].predicted == (i % 6 == 0) for i in range(600)) and got[600].score > got[1].score
+    # labels may be as wrong as they like for documents; posteriors come from votes
+    fitted = toxicity.label_model
+
+    def blind(*args):
+        model = fitted(*args)
+        model.logit = dict.fromkeys(model.logit, -30.0)
+        return model
+
+    monkeypatch.setattr(toxicity, "label_model", blind)
+    assert not any(r.predicted for r in run().values())
 
 
 # 8
@@ -515,6 +552,41 @@ def test_licenses(spark, corpus):
     assert len(set(got) - set(want)) <= 1
 
 
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+ODD_DOCS = [
+    "one\n\n" + GPL + "\n\ntwo", "# " + GPL.replace("\n", "\n# "), WARRANTY, "SPDX-License-Identifier: Apache-2.0", "The driver's license and the fishing licence were renewed.",
+    "This library is distributed under the GNU Lesser General Public License, version 3.", "Permission was granted to build a bridge.", "All seats are reserved.", "prose\nprose again\nReleased under the MIT License.\nprose", None, "",
+]
+
+
+def test_licenses_of_wrapped_and_whole_texts(spark):
+    docs = docs_of(spark, [*ODD_DOCS, ODD_DOCS[0], ODD_DOCS[3]], [*range(len(ODD_DOCS)), None, 3])
+    rows = licenses.scan(docs).collect()
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.line, r.family) for r in rows)
+    assert got == [(-1, 2, "GPL-3.0"), (0, 2, "GPL-3.0"), (1, 0, "GPL-3.0"), (2, 0, "MIT"), (3, 0, "Apache-2.0"), (3, 0, "Apache-2.0"), (5, 0, "LGPL"), (8, 2, "MIT")]
+    assert all(0.5 <= r.probability <= 1 and r.overlap >= licenses.CONFIRM for r in rows)
+    assert licenses.scan(docs_of(spark, [])).count() == 0
+
+
+def test_the_licence_classifier_decides(spark, monkeypatch):
+    """A template alone finds nothing: with another family's training, or none, the same texts get other answers."""
+    texts = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0."]
+    known = {k: list(v) for k, v in licenses.NOTICES.items()}
+    monkeypatch.setattr(licenses, "NOTICES", {**known, "MIT": ["zzq zzr zzs zzt"], "Apache-2.0": ["zzu zzv zzw zzx"]})
+    assert licenses.scan(docs_of(spark, texts)).count() == 0  # the templates still hold both texts
+    # where templates of two families fit equally, the classifier says which
+    both = [*licenses.TEMPLATES["MIT"], *licenses.TEMPLATES["Apache-2.0"]]
+    monkeypatch.setattr(licenses, "NOTICES", known)
+    monkeypatch.setattr(licenses, "TEMPLATES", {**licenses.TEMPLATES, "MIT": both, "Apache-2.0": both})
+    assert sorted((r.doc_id, r.family) for r in licenses.scan(docs_of(spark, texts)).collect()) == [(0, "MIT"), (1, "Apache-2.0")]
+
+
 # 9
 
 
