@@ -36,6 +36,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 VOCABULARY, NEGATIVES, OVERLAP, CONFIRM, LEVEL, CLEARLY = 8192, 4000, 0.3, 0.5, 0.5, 0.1
 #: Temperatures tried.
 HEATS = [round(0.25 * 1.25**i, 4) for i in range(16)]
@@ -128,7 +130,7 @@ TEMPLATES = {
 OTHER = [
     "The driver's license was checked by the police", "He got a fishing licence last year", "Permission was granted to build a bridge", "All seats are reserved for guests", "The general public was invited to the version of the play",
     "The software was sold to a large company", "The library is open to the public", "She has the right to vote", "Human rights are not negotiable", "The warranty of the car ended", "The terms of the contract were changed",
-    "The Apache were a people of the plains", "The university released its report under pressure", "Notice of the meeting was given", "A copy of the letter was found", "The work was distributed among the farmers",
+    "The Apache were a people of the plains", "The university released its report under pressure", "Notice of the meeting was given", "A copy of the letter was found", "Only members may use the name above any other without further conditions", "The work was distributed among the farmers",
 ]
 
 
@@ -239,13 +241,14 @@ def scan(docs: DataFrame) -> DataFrame:
     one = cut.withColumn("row", F.monotonically_increasing_id()).withColumn("hit", F.transform("w", lambda x: F.arrays_overlap(x, cues)))
     spans = one.withColumn("wholes", F.expr(f"filter({step}, s -> s.b > s.a and exists(slice(hit, s.a + 1, s.b - s.a + 1), h -> h))"))
     spans = spans.withColumn("lone", F.expr("transform(filter(sequence(0, size(w) - 1), i -> hit[i]), i -> struct(i as a, i as b))"))
-    unit = spans.select("doc_id", "row", "t", "w", F.explode(F.expr("concat(wholes, lone)")).alias("s")).select(
-        "doc_id", "row", F.col("s.a").alias("line"), F.col("s.b").alias("last"),
-        F.expr("flatten(slice(w, s.a + 1, s.b - s.a + 1))").alias("w"), F.expr("array_join(slice(t, s.a + 1, s.b - s.a + 1), '\n')").alias("paragraph"),
-    ).withColumn("id", F.monotonically_increasing_id())
-    # n-grams count once each in a paragraph; those that the model doesn't know fall out in the join
-    hits = unit.selectExpr("doc_id", "row", "line", "last", "paragraph", "w as words", "id", f"explode(array_distinct({grams('w')})) as gram").join(F.broadcast(weights), "gram")
-    sums = hits.groupBy("id", "row", "doc_id", "line", "last").agg(F.first("paragraph").alias("paragraph"), F.first("words").alias("words"), *[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(n)])
+    unit = materialise(
+        spans.select("doc_id", "row", "t", F.explode(F.expr("concat(wholes, lone)")).alias("s")).select(
+            "doc_id", "row", F.col("s.a").alias("line"), F.col("s.b").alias("last"), F.expr("array_join(slice(t, s.a + 1, s.b - s.a + 1), '\\n')").alias("paragraph")
+        ).withColumn("id", F.monotonically_increasing_id())
+    )
+    # n-grams count once each in a paragraph; those that the model doesn't know fall out in the join, and only sums are shuffled
+    hits = unit.selectExpr("id", f"explode(array_distinct({grams(words('paragraph'))})) as gram").join(F.broadcast(weights), "gram")
+    sums = hits.groupBy("id").agg(*[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(n)])
     z = F.array([(F.col(f"z{i}") + F.lit(intercepts[i])) / F.lit(heat) for i in range(n)])
     said = (
         sums.withColumn("z", z).withColumn("top", F.array_max("z")).withColumn("total", F.expr("aggregate(z, 0D, (a, x) -> a + exp(x - top))"))
@@ -258,7 +261,8 @@ def scan(docs: DataFrame) -> DataFrame:
         templates.setdefault(r.family, []).append(r.p)
     shared = lambda t: F.size(F.array_intersect("p", strings(t)))
     like = F.coalesce(*[F.when(F.col("family") == f, F.greatest(*[F.greatest(shared(t) / F.size("p"), shared(t) / F.lit(len(t))) for t in own], F.lit(0.0))) for f, own in templates.items()], F.lit(0.0))
-    sure = said.withColumn("p", F.expr(pairs("words"))).withColumn("overlap", like).where(F.col("overlap") >= CONFIRM)
+    found = said.select("id", "family", "probability").join(unit, "id")
+    sure = found.withColumn("p", F.expr(pairs(words("paragraph")))).withColumn("overlap", like).where(F.col("overlap") >= CONFIRM)
     # lines inside a paragraph that is found as a whole are part of it, unless one of them fits a template clearly better
     each = sure.groupBy("row", "doc_id").agg(F.collect_list(F.struct("line", "last", "family", "probability", "overlap", "paragraph")).alias("x"))
     each = each.withColumn("wholes", F.expr(f"filter(x, o -> o.last > o.line and not exists(x, s -> s.last = s.line and o.line <= s.line and s.line <= o.last and s.overlap > o.overlap + {CLEARLY}))"))
