@@ -300,9 +300,38 @@ def brute_lines(rows):
     return gone
 
 
+def brute_heads(rows):
+    """For each line that goes: the line it goes for, which has no partner, and their edits."""
+    first, at, partner = [], {}, {}
+    lines = [(i, k, tuple(x.split())) for i, t in sorted(rows) for k, x in linededup.lines_of(t or "")]
+    for i, k, x in lines:
+        if x not in at:
+            near = []
+            for j, m, v in first:
+                most = bound(min(len(x), len(v)))
+                if most and abs(len(v) - len(x)) <= most and len(set(x) & set(v)) >= len(set(x)) - most and (edits := word_distance(v, x)) <= most:
+                    near.append((edits > 1, j, m, edits))
+            partner[x] = min(near, default=None)
+            first.append((i, k, x))
+            at[x] = (i, k)
+    text, gone = {(i, k): x for i, k, x in lines}, {}
+    for i, k, x in lines:
+        if partner[x] and not partner[text[partner[x][1:3]]]:
+            gone[i, k] = partner[x][1:]
+        elif at[x] != (i, k):
+            gone[i, k] = (*at[x], 0)
+    return gone
+
+
+def check_heads(spark, rows):
+    found = linededup.dropped_lines(docs_of(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert {(r.doc_id, r.line): (r.kept_doc_id, r.kept_line, r.edits) for r in found} == brute_heads(rows)
+    return found
+
+
 def check_lines(spark, rows):
     docs = docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
-    found = linededup.dropped_lines(docs).collect()
+    found = linededup.dropped_lines(docs, exhaustive=True).collect()
     want = brute_lines(rows)
     assert {(r.doc_id, r.line) for r in found} == set(want)
     for r in found:  # the line named stays, stands before, and is so many edits away
@@ -318,7 +347,8 @@ def test_line_dedup(spark, corpus):
     made = [" ".join(w), " ".join(w).upper() + "!", " ".join(w[:-1]), " ".join(w[1:]), " ".join([*w[:4], "x", *w[4:]]), " ".join([*w[:9], "y"]), " ".join(["z", *w[1:]]), " ".join(w[::-1]), " ".join(w[:3]) + "\n" + " ".join(w[:3]), "a b", None, ""]
     made += [" ".join([*w[:5], f"n{i}", *w[6:]]) for i in range(12)] + [LONG, LONG + "\nq"]
     rows = list(enumerate(made)) + [(i + 1000, t) for i, t in corpus[:90]]
-    docs, found = check_lines(spark, rows)
+    check_lines(spark, rows)
+    found, docs = check_heads(spark, rows), docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
     got = {(r.doc_id, r.line) for r in found}
     kept = {r.doc_id: r for r in linededup.without_repeats(docs).collect()}
     for i, t in rows:
@@ -342,6 +372,9 @@ def test_line_dedup_of_chains(spark):
     made += [" ".join(x) for x in far] + [" ".join(far[i]).replace("w", "u") for i in order]
     _, found = check_lines(spark, list(enumerate(made)))
     assert {(r.doc_id, r.line) for r in found if r.doc_id < 9} == {(1, 0), (3, 0), (5, 0), (7, 0)}
+    found = check_heads(spark, list(enumerate(made)))
+    gone = {(r.doc_id, r.line) for r in found}
+    assert not {(r.kept_doc_id, r.kept_line) for r in found} & gone
 
 
 def test_line_dedup_classes_of_lengths(spark):
