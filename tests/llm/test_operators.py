@@ -637,3 +637,25 @@ def test_token_counts(spark, corpus):
             assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 4096)
     assert tokencount.token_counts(docs_of(spark, []), path).count() == 0
     assert tokencount.token_counts(docs_of(spark, ["a b"] * 3, [1, 1, None]), path).count() == 3
+
+
+def test_line_variants_emitted():
+    rng = random.Random(3)
+    lines = [" ".join(rng.choice(["a", "b", "é"]) for _ in range(rng.choice([8, 8, 9, 12, 13]))) for _ in range(300)]
+    first = np.array([rng.random() < 0.5 for _ in lines], dtype=np.int64)
+    second = np.where(first == 1, [rng.random() < 0.3 for _ in lines], 1)
+    key, kind, row = linededup.emitted(lines, first, second)
+    of: dict[int, set] = {}
+    for k, z, r in zip(key.tolist(), kind.tolist(), row.tolist()):
+        of.setdefault(k, set()).add((z, r))
+    got = sorted(sorted(x) for x in of.values())
+    want: dict[tuple, set] = {}
+    for r, text in enumerate(lines):
+        w, n = text.split(" "), len(text.split(" "))
+        h = max(c for c in linededup.CLASSES if c < n or n == linededup.EDITED == c) // 2 if n in linededup.CLASSES[1:] else max(c for c in linededup.CLASSES if c <= n) // 2
+        want.setdefault(tuple(w), set()).add((2, r))
+        for i in range(0 if second[r] else h, n if first[r] else n - h):
+            left = tuple(w[:i] + w[i + 1 :])
+            want.setdefault(("at", i, left), set()).add((0, r))
+            want.setdefault(left, set()).add((1, r))
+    assert got == sorted(sorted(x) for x in want.values())
