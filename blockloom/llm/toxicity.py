@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, span_hashes, texts, tokens_of
+from .common import materialise, rows_of, span_hashes, texts, tokens_of
 from .quality import drawn, fold, sample_of
 
 SAMPLE = 20_000
@@ -273,7 +273,7 @@ def classifier(sample: DataFrame, voters, model: LabelModel) -> tuple[Features,
             label = [round(PARTS * model.posterior(v)) if (v := own.votes(t)) in model.logit else 0 for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(label, pa.int32())], names=["doc_id", "text", "label"])
 
-    soft = sample.select("doc_id", "text").mapInArrow(judged, "doc_id long, text string, label int")
+    soft = materialise(sample.select("doc_id", "text").mapInArrow(judged, "doc_id long, text string, label int"))
     features = Features(mine(soft))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +291,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, of: int = 5, held: int =
     sc = docs.sparkSession.sparkContext
     gold = sample_of(labels, "toxic", of, held, most).select("doc_id", (F.col("label") * PARTS).cast("int").alias("label"))
     document = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    labelled = document.join(F.broadcast(gold), "doc_id").select("doc_id", "text", "label")
+    labelled = materialise(document.join(F.broadcast(gold), "doc_id").select("doc_id", "text", "label"))
     voters = sc.broadcast(Voters(mine(labelled)))
     model = label_model(document, labelled, voters)
     if model is None:
