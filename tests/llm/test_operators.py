@@ -488,6 +488,49 @@ def test_alignment_is_least():
         assert got[0] == min(row) and 0 <= got[1] <= got[2] <= len(b)
 
 
+def least_edits(item, texts):
+    """For each text the least edits of the item against any part of it, by plain dynamic programming over all its places
+    (texts stand one after another, apart by more signs that no item has than the bound allows edits)."""
+    gap = np.zeros(int(len(item) * 0.08) + 1, dtype=np.uint32)
+    parts = [common.codes(common.normal(t or "")) for t in texts]
+    joined = np.concatenate([x for part in parts for x in (part, gap)])
+    end = np.cumsum([len(x) + len(gap) for x in parts]) - len(gap)
+    place, row = np.arange(len(joined) + 1), np.zeros(len(joined) + 1, dtype=np.int64)
+    for n, c in enumerate(common.codes(item), 1):
+        new = row + 1
+        new[0] = n
+        new[1:] = np.minimum(new[1:], row[:-1] + (joined != c))
+        row = np.minimum.accumulate(new - place) + place
+    return [int(row[e - len(x) : e + 1].min()) for e, x in zip(end, parts)]
+
+
+def with_edits(rng, text, edits):
+    own = list(text)
+    for at in sorted(rng.sample(range(len(own)), edits), reverse=True):
+        own[at : at + 1] = rng.choice([[], ["q", own[at]], ["z"], ["7"]])
+    return "".join(own)
+
+
+def test_decontamination_finds_all_within_the_bound(spark, corpus):
+    """Every pair within the bound is found with its least edits, and no other, with edits on both sides of the bound."""
+    rng = random.Random(11)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(8).collect()]
+    items += [(900, "short one"), (901, "zq"), (902, "a b " * 60 + "end"), (903, items[0][1])]
+    texts = [t for _, t in corpus[:25]]
+    for _, t in items:
+        n = len(common.normal(t))
+        for edits in {0, 1, n // 25, int(n * 0.08) - 1, int(n * 0.08), int(n * 0.08) + 1, n // 10}:
+            if 0 <= edits <= n:
+                texts.append(f"w{len(texts)} x " + with_edits(rng, common.normal(t), edits) + f" y{len(texts)}")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    want = {}
+    for k, t in items:
+        item = common.normal(t)
+        want |= {(i, k): e for i, e in enumerate(least_edits(item, texts)) if e <= int(len(item) * 0.08)}
+    assert got == want and sum(e > 0 for e in want.values()) > 20
+
+
 # 7 and 10
 
 
