@@ -2,13 +2,12 @@
 
 Lines are compared as sequences of words (lower case, without signs). Every line with a
 letter or digit counts, and of equal lines the earliest (by doc_id, then line) is looked at.
-Its partner is the earliest line before it one edit away (a word changed, added or left out),
-or else the earliest one within the bound. It goes if its partner has no partner itself, and
-so stays; in a chain of lines, each near the one before, no line goes for one that goes.
-With exhaustive=True a line whose partner goes looks for another one, until no line is left
-within the bound of one that stays before it; this takes a round for each step of the
-longest chain. The bound follows from the words n of the shorter line: 0 below EDITED, 1 from there on,
-and n // EVERY from FAR on. A line that goes names a line that stays.
+A line goes if a line that stays stands before it within the bound, so in a chain of lines, each
+near the one before, no line goes for one that goes, and no line is left that is within the bound of
+one that stays before it. It goes for the earliest of those one edit away (a word changed, added or
+left out), or else for the earliest one. With exhaustive=False only the first step of this is done: a
+line whose first partner has a partner itself stays. The bound follows from the words n of the shorter
+line: 0 below EDITED, 1 from there on, and n // EVERY from FAR on. A line that goes names a line that stays.
 
 1. Each line becomes a 128-bit hash; Spark finds the earliest of equal lines, and only
    that one goes on.
@@ -26,14 +25,15 @@ and n // EVERY from FAR on. A line that goes names a line that stays.
    least hash is kept (winnowing), so that two such lines share a kept hash.
 6. Lines that share one are compared within units of two blocks of BLOCK lines at most, by
    their lengths and by how often their words fall in each of BAG classes: k edits change
-   these counts by 2 k at most. No pair within the bound is lost. The earliest such
-   partner is verified by a banded word distance; a line that it doesn't settle, and no
-   line one word away does, tries the others in turn, TRY at a time.
-7. A line whose partner has none goes. With exhaustive=True, one whose partner goes looks
-   for its next partner among the lines left; this is repeated until all lines are
-   decided, and each round works on the undecided lines alone.
+   these counts by 2 k at most. No pair within the bound is lost. The lines of a unit that
+   may have a partner there come back with their words, and each that has no line one word
+   away takes the earliest one that a banded word distance finds within the bound.
+7. A line whose partner has none goes. One whose partner goes looks for its next partner among
+   the lines left; this is repeated until all lines are decided, and each round works on the
+   undecided lines and what shares a variant or a unit with them. Once that is AT_ONCE rows
+   or less, one task decides these lines one after the other.
 
-The words of lines in steps 3 and 6 are found in a second scan through a bit table.
+The words of lines in steps 3, 6 and 7 are found in a second scan through a bit table.
 
 Defined results: null and empty texts have no lines; lines of any length are taken
 whole; rows with equal doc_id and text are one document, and keep the same lines;
@@ -58,10 +58,12 @@ EVERY = 20
 FAR = 2 * EVERY
 #: ceil((FAR - 2) / 3), and more for longer lines.
 RUN, GRAM = 13, 6
-#: Classes of words; lines of a block.
-BAG, BLOCK = 32, 2048
+#: Classes of words; lines of a block, of LEAST words each (fewer longer ones: a block is bounded by its words).
+BAG, BLOCK, LEAST = 32, 2048, 64
 #: Partners that a line tries at once.
 TRY = 64
+#: Rows (and LEAST times as many characters) of undecided lines and their possible partners that one task decides.
+AT_ONCE = 1 << 18
 _C = 0xC2B2AE3D27D4EB4F | 1
 
 #: The least length of each class of lengths, each half as long again as the one before.
@@ -72,8 +74,8 @@ LAST = (1 << 63) - 1
 
 LINES = "doc_id long, doc_hash long, line int, h1 long, h2 long, n int, p long, s long, p1 long, s1 long, keys array<long>, bag binary"
 PLACE = ["id", "doc_hash", "line", "h1", "h2"]
-PAIR = ["h1", "h2", "g1", "g2"]
-PAIRS = "h1 long, h2 long, g1 long, g2 long"
+UNIT = ["key", "i", "j", "blk", "n", "bag", "h1", "h2"]
+UNITS = "key long, i int, j int, blk int, n int, bag binary, h1 long, h2 long"
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -250,8 +252,7 @@ def by_unit(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
     held: list[pa.RecordBatch] = []
 
     def made(table: pa.Table) -> tuple[pa.Table, dict[str, np.ndarray], np.ndarray]:
-        c = {x: table.column(x).to_numpy() for x in names}
-        c["bag"] = np.frombuffer(b"".join(table.column("bag").to_pylist()), dtype=np.uint8).reshape(-1, BAG)
+        c = {x: table.column(x).to_numpy() for x in ("key", "i", "j", *names)}
         new = np.ones(table.num_rows + 1, dtype=bool)
         new[1:-1] = (c["key"][1:] != c["key"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])
         return table, c, np.repeat(np.flatnonzero(new)[1:], np.diff(np.flatnonzero(new)))
@@ -260,12 +261,14 @@ def by_unit(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
         if not batch.num_rows:
             continue
         held.append(batch)
+        last = [batch.column(x)[-1].as_py() for x in ("key", "i", "j")]
+        if [held[0].column(x)[0].as_py() for x in ("key", "i", "j")] == last:
+            continue  # sorted, so all that is held is of one unit
         table = pa.Table.from_batches(held)
         c = [table.column(x).to_numpy() for x in ("key", "i", "j")]
-        cut = np.flatnonzero((c[0] != c[0][-1]) | (c[1] != c[1][-1]) | (c[2] != c[2][-1]))
-        if len(cut):
-            yield made(table.slice(0, cut[-1] + 1))
-            held = table.slice(cut[-1] + 1).combine_chunks().to_batches()
+        cut = np.flatnonzero((c[0] != last[0]) | (c[1] != last[1]) | (c[2] != last[2]))
+        yield made(table.slice(0, cut[-1] + 1))
+        held = table.slice(cut[-1] + 1).combine_chunks().to_batches()
     if held:
         yield made(pa.Table.from_batches(held))
 
@@ -281,52 +284,102 @@ def may_pair(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarr
     return ok
 
 
+def bags_of(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("bag").to_pylist()), dtype=np.uint8).reshape(-1, BAG)
+
+
 def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each line of a unit the earliest other that lengths and bags allow (lines that are only earlier ones come
-    without). Batches are sorted by key, i, j and place."""
-    for _, c, end in by_unit(batches, ("key", "i", "j", "h1", "h2", "n", "blk")):
-        y, earliest, met = np.arange(len(end)), np.full(len(end), -1), np.zeros(len(end), dtype=bool)
+    """The rows of each unit that lengths and bags allow a partner in it. Batches are sorted by key, i and j."""
+    for table, c, end in by_unit(batches, ("n", "blk")):
+        c["bag"] = bags_of(table)
+        y, met = np.arange(len(end)), np.zeros(len(end), dtype=bool)
         for off in range(1, len(end)):
             y = y[y + off < end[y]]
             if not len(y):
                 break
-            ok = may_pair(c, y + off, y)
-            a, b = y[ok] + off, y[ok]
-            earliest[a] = b  # longer ways come later, so the earliest line is written last
-            met[a] = met[b] = True
-        x = np.flatnonzero(met)
-        other = earliest[x]
-        yield pa.RecordBatch.from_arrays([pa.array(c["h1"][x]), pa.array(c["h2"][x]), *(pa.array(c[z][other], mask=other < 0) for z in ("h1", "h2"))], names=PAIR)
-
-
-def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each open line of a unit the TRY earliest lines after the place `after` that lengths and bags allow, and
-    whether there may be more. Batches are sorted by key, i, j and rank."""
-    for _, c, end in by_unit(batches, ("key", "i", "j", "rank", "n", "blk", "open", "after")):
-        start = np.searchsorted(end, end, "left")
-        xs, ys, more = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=bool)]
-        for x in np.flatnonzero(c["open"]):
-            y = np.arange(start[x], x)
-            y = y[c["rank"][y] > c["after"][x]]
-            y = y[may_pair(c, np.full(len(y), x), y)]
-            xs.append(np.full(min(len(y), TRY), x))
-            ys.append(y[:TRY])
-            more.append(np.arange(len(y[:TRY])) == (TRY - 1 if len(y) > TRY else -1))
-        yield pa.RecordBatch.from_arrays([pa.array(c["rank"][np.concatenate(xs)]), pa.array(c["rank"][np.concatenate(ys)]), pa.array(np.concatenate(more))], names=["rank", "y", "more"])
-
-
-def units(rows: DataFrame, order: list[str], *columns: str) -> DataFrame:
-    """The rows dealt to the units of their two blocks, each unit in one task and in order."""
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            b = y[~(met[y] & met[y + off])]
+            b = b[may_pair(c, b + off, b)]
+            met[b] = met[b + off] = True
+        yield from table.select(UNIT).filter(pa.array(met)).combine_chunks().to_batches()
+
+
+def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rank, y and edits: of each line of a unit that asks, the earliest line before it within the bound. Batches are
+    sorted by key, i, j and rank."""
+    for table, c, end in by_unit(batches, ("rank", "n", "blk", "asks")):
+        c["bag"] = bags_of(table)
+        y, first = np.arange(len(end)), np.full(len(end), -1)
+        for off in range(1, len(end)):
+            y = y[y + off < end[y]]
+            if not len(y):
+                break
+            b = y[c["asks"][y + off]]
+            b = b[may_pair(c, b + off, b)]
+            first[b + off] = b  # longer ways come later, so the earliest line is written last
+        words = table.column("words").combine_chunks()
+        out: list[tuple[int, int, int]] = []
+        for x in np.flatnonzero(first >= 0).tolist():
+            w = words[x].as_py().split(" ")
+            for b in possible(c, x, int(first[x])):
+                v = words[b].as_py().split(" ")
+                edits = distance(w, v, min(len(w), len(v)) // EVERY)
+                if edits is not None:
+                    out.append((c["rank"][x], c["rank"][b], edits))
+                    break
+        a, b, edits = zip(*out) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(edits, pa.int32())], names=["rank", "y", "edits"])
+
+
+def possible(c: dict[str, np.ndarray], x: int, first: int) -> Iterator[int]:
+    """The row `first` of x's unit and those between it and x that lengths and bags allow, found TRY at a time."""
+    yield first
+    for at in range(first + 1, x, TRY):
+        y = np.arange(at, min(x, at + TRY))
+        yield from y[may_pair(c, np.full(len(y), x), y)].tolist()
+
+
+def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rank, y and edits of the undecided lines that go, decided one after the other: kind 0 to 2 are variants, 3 the rows of
+    units, 4 the lines' words and 5 the undecided lines."""
+    held = [x.to_pydict() for x in batches]
+    rows = [x for part in held for x in zip(*(part[c] for c in ("kind", "key", "i", "j", "rank", "words")))]
+    words = {rank: text.split(" ") for kind, _, _, _, rank, text in rows if kind == 4}
+    undecided = {rank for kind, *_, rank, _ in rows if kind == 5}
+    members: dict[tuple, list[int]] = {}
+    own: dict[int, list[tuple]] = {x: [] for x in undecided}
+    for kind, key, i, j, rank, _ in rows:
+        if kind < 4:
+            members.setdefault((kind, key, i, j), []).append(rank)
+            if rank in undecided:
+                own[rank].append(({1: 2, 2: 1}.get(kind, kind), key, i, j))
+    gone: dict[int, tuple[int, int]] = {}
+    for x in sorted(undecided):
+        for near in (True, False):
+            others = {y for group in own[x] if (group[0] < 3) == near for y in members.get(group, ()) if y < x and y not in gone}
+            w = words[x]
+            found = next(((y, edits) for y in sorted(others) if (edits := distance(w, v := words[y], 1 if near else min(len(w), len(v)) // EVERY)) is not None), None)
+            if found:
+                gone[x] = found
+                break
+    a, b = list(gone), list(gone.values())
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([y for y, _ in b], pa.int64()), pa.array([edits for _, edits in b], pa.int32())], names=["rank", "y", "edits"])
+
+
+def units(rows: DataFrame) -> DataFrame:
+    """The rows dealt to the units of their two blocks, each unit in one task."""
     dealt = rows.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o"))
-    names = list(dict.fromkeys(["key", "i", "j", *order, "h1", "h2", "n", "blk", "bag", *columns]))
-    return dealt.select(*names).repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j", *order)
+    return in_units(dealt.select(*UNIT))
+
+
+def in_units(rows: DataFrame, *order: str) -> DataFrame:
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j", *order)
 
 
 def sharing(first: DataFrame) -> DataFrame:
     """The lines of FAR words or more with each kept hash that another line has too, cut into blocks."""
     far = first.where(F.col("n") >= FAR)
-    shared = materialise(far.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    shared = materialise(far.select("n", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c"), F.sum(F.greatest("n", F.lit(LEAST))).alias("size")).where("c > 1"))
     table = first.sparkSession.sparkContext.broadcast(bits_of(shared, "key"))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,26 +392,10 @@ def sharing(first: DataFrame) -> DataFrame:
             take = pa.array(pair[:, 0])
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 1].copy()), *(batch.column(x).take(take) for x in own)], names=["key", *own])
 
-    own = [*PLACE, "n", "bag"]
-    rows = far.select(*own, "keys").mapInArrow(hits, "key long, id long, doc_hash long, line int, h1 long, h2 long, n int, bag binary").join(shared, "key")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    return materialise(rows.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.col("h2"), F.col("blocks")).cast("int")).drop("c"))
-
-
-def verified(pairs: DataFrame) -> DataFrame:
-    """rank, y and edits of the pairs (rank, y, w, v) within the bound, of each line the earliest partner."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches):
-            edits = []
-            for w, v in zip(batch.column("w").to_pylist(), batch.column("v").to_pylist()):
-                a, b = w.split(" "), v.split(" ")
-                edits.append(distance(a, b, min(len(a), len(b)) // EVERY))
-            of = pa.array(edits, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("rank"), batch.column("y"), of], names=["rank", "y", "edits"]).filter(of.is_valid())
-
-    near = pairs.select("rank", "y", "w", "v").mapInArrow(run, "rank long, y long, edits int")
-    return near.groupBy("rank").agg(F.min("y").alias("y"), F.min_by("edits", "y").alias("edits"))
+    own = ["h1", "h2", "n", "bag"]
+    rows = far.select(*own, "keys").mapInArrow(hits, "key long, h1 long, h2 long, n int, bag binary").join(shared, "key")
+    blocks = F.ceil(F.col("size") / (BLOCK * LEAST)).cast("int")
+    return rows.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.col("h2"), F.col("blocks")).cast("int")).drop("c", "size")
 
 
 class Partners:
@@ -368,14 +405,11 @@ class Partners:
         runs_ = first.where(F.col("n") >= EDITED).select("h1", "h2", F.explode(F.expr("filter(array(struct(p as k, true as p), struct(s as k, false as p), struct(p1 as k, true as p), struct(s1 as k, false as p)), x -> x.k is not null)")).alias("x")).select("h1", "h2", "x.*")
         shared = runs_.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
         near = runs_.join(shared, "k").groupBy("h1", "h2").agg(F.bool_or("p").alias("first"), F.bool_or(~F.col("p")).alias("second"), F.lit(False).alias("far"))
-        self.far = sharing(first)
-        met = materialise(units(self.far, PLACE).mapInArrow(alike, PAIRS).distinct())
-        members = met.select("h1", "h2", F.lit(False).alias("first"), F.lit(False).alias("second"), F.lit(True).alias("far"))
+        met = materialise(units(sharing(first)).mapInArrow(alike, UNITS))
+        members = met.select("h1", "h2").distinct().select("h1", "h2", F.lit(False).alias("first"), F.lit(False).alias("second"), F.lit(True).alias("far"))
         alive = materialise(near.unionByName(members).groupBy("h1", "h2").agg(*[F.bool_or(x).alias(x) for x in ("first", "second", "far")]))
         self.lines = self._found_again(docs, first, alive)
-        names = self.lines.select("h1", "h2", "rank")
-        other = names.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("rank").alias("y"))
-        self.earliest = met.where("g1 is not null").join(names, ["h1", "h2"]).join(other, ["g1", "g2"]).select("rank", "y").distinct()
+        self.far = materialise(met.join(self.lines.where("far").select("h1", "h2", "rank"), ["h1", "h2"]).drop("h1", "h2"))
         self.rows = materialise(self.lines.where("first or second").select("rank", "words", "first", "second").mapInArrow(_emit, "key long, kind byte, rank long"))
 
     @staticmethod
@@ -421,52 +455,41 @@ class Partners:
         met = found.join(words, "rank").join(words.select(F.col("rank").alias("y"), F.col("w").alias("v")), "y")
         return materialise(met.where(within_one("w", "v")).select("rank", "y", F.lit(1).alias("edits")))
 
-    def at_first(self) -> DataFrame:
-        """rank, y and edits of every line that has a partner."""
-        near = self.near(None, None)
-        words = self.lines.where("far").select("rank", "words")
-        ask = self.earliest.join(near, "rank", "left_anti")
-        pairs = ask.join(words.select("rank", F.col("words").alias("w")), "rank").join(words.select(F.col("rank").alias("y"), F.col("words").alias("v")), "y")
-        once = materialise(verified(pairs))
-        left = materialise(ask.select("rank").distinct().join(once, "rank", "left_anti"))
-        found = near.unionByName(once)
-        return materialise(found.unionByName(self._in_units(None, left)) if left.limit(1).count() else found)
-
-    def next(self, gone: DataFrame, open_: DataFrame) -> DataFrame:
-        """rank, y and edits of those open lines that have a partner that isn't gone."""
+    def partners(self, gone: DataFrame | None, open_: DataFrame | None) -> DataFrame:
+        """rank, y and edits of those lines, or open ones, that have a partner that isn't gone."""
         near = self.near(gone, open_)
-        left = materialise(open_.join(self.lines.where("far").select("rank"), "rank", "left_semi").join(near, "rank", "left_anti"))
-        return near.unionByName(self._in_units(gone, left)) if left.limit(1).count() else near
-
-    def _in_units(self, gone: DataFrame | None, open_: DataFrame) -> DataFrame:
-        """rank, y and edits of the open lines with a partner that shares a kept hash, TRY possible ones at a time."""
         far = self.lines.where("far")
-        rows = self.far.join(far.select("h1", "h2", "rank"), ["h1", "h2"])
-        rows = rows.join(rows.join(open_, "rank", "left_semi").select("key").distinct(), "key", "left_semi")
-        rows = materialise(rows if gone is None else rows.join(gone, "rank", "left_anti"))
-        out, ask = None, open_.withColumn("after", F.lit(-1).cast("long"))
-        while True:
-            dealt = rows.join(ask.withColumn("open", F.lit(True)), "rank", "left").withColumn("open", F.coalesce("open", F.lit(False))).withColumn("after", F.coalesce("after", F.lit(-1).cast("long")))
-            pairs = materialise(units(dealt, ["rank"], "open", "after").mapInArrow(tried, "rank long, y long, more boolean").groupBy("rank", "y").agg(F.bool_or("more").alias("more")))
-            words = far.select("rank", "words")
-            found = verified(pairs.join(words.select("rank", F.col("words").alias("w")), "rank").join(words.select(F.col("rank").alias("y"), F.col("words").alias("v")), "y"))
-            # up to the first place where a unit broke off, all are tried
-            edge = pairs.where("more").groupBy("rank").agg(F.min("y").alias("after"))
-            found = materialise(found.join(edge, "rank", "left").where("after is null or y <= after").select("rank", "y", "edits"))
-            out = found if out is None else out.unionByName(found)
-            ask = materialise(edge.join(found, "rank", "left_anti"))
-            if not ask.limit(1).count():
-                return out
-
-    def _only(self, undecided: DataFrame) -> None:
-        """From here on, what no undecided line has to do with is out of the way."""
-        self.rows = materialise(self.rows.join(self.rows.join(undecided, "rank", "left_semi").select("key").distinct(), "key", "left_semi"))
-        asked = self.lines.where("far").join(undecided, "rank", "left_semi").select("h1", "h2")
-        self.far = materialise(self.far.join(self.far.join(asked, ["h1", "h2"], "left_semi").select("key").distinct(), "key", "left_semi"))
+        asks = (far if open_ is None else far.join(open_, "rank", "left_semi")).join(near, "rank", "left_anti").select("rank", F.lit(True).alias("asks"))
+        words = far.select("rank", "words").join(asks, "rank", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        rows = self.far.join(words if gone is None else words.join(gone, "rank", "left_anti"), "rank")
+        found = in_units(rows, "rank").mapInArrow(settled, "rank long, y long, edits int").groupBy("rank").agg(F.min("y").alias("y"), F.min_by("edits", "y").alias("edits"))
+        return materialise(near.unionByName(found))
+
+    def _only(self, undecided: DataFrame, gone: DataFrame) -> None:
+        """From here on, what no undecided line has to do with is out of the way, and what is gone too."""
+        keys = self.rows.join(undecided, "rank", "left_semi").select("key").distinct()
+        self.rows = materialise(self.rows.join(gone, "rank", "left_anti").join(keys, "key", "left_semi"))
+        own = self.far.join(undecided, "rank", "left_semi").select("key", "i", "j").distinct()
+        self.far = materialise(self.far.join(gone, "rank", "left_anti").join(own, ["key", "i", "j"], "left_semi"))
+
+    def _at_once(self, undecided: DataFrame) -> DataFrame | None:
+        """rank, y and edits of the undecided lines that go, if all that they have to do with fits one task."""
+        many = self.rows.count() + self.far.count()
+        if many > AT_ONCE:
+            return None
+        zero, none = F.lit(0), F.lit(None).cast("string").alias("words")
+        groups = self.rows.select("kind", "key", zero.alias("i"), zero.alias("j"), "rank", none).unionByName(self.far.select(F.lit(3).alias("kind"), "key", "i", "j", "rank", none))
+        lines = self.lines.select("rank", "words").join(groups.select("rank").distinct(), "rank", "left_semi")
+        size = lines.agg(F.sum(F.length("words"))).first()[0] or 0
+        if size > AT_ONCE * LEAST:
+            return None
+        whole = lambda df, kind, text: df.select(F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("key"), zero.alias("i"), zero.alias("j"), "rank", text)
+        rows = groups.unionByName(whole(lines, 4, F.col("words"))).unionByName(whole(undecided, 5, none))
+        return materialise(rows.repartition(1).mapInArrow(decide, "rank long, y long, edits int"))
 
     def decided(self, exhaustive: bool) -> DataFrame:
         """rank, y and edits of each line that goes, y being a line that stays."""
-        open_, gone = self.at_first(), None
+        open_, gone = self.partners(None, None), None
         while True:
             # a partner that is neither undecided nor gone stays
             stays = open_.join(open_.select(F.col("rank").alias("y")), "y", "left_anti")
@@ -479,11 +502,14 @@ class Partners:
             rest = materialise(open_.join(gone, "rank", "left_anti"))
             if not rest.limit(1).count():
                 return gone
-            self._only(rest.select("rank"))
+            self._only(rest.select("rank"), gone.select("rank"))
+            rounds = self._at_once(rest.select("rank"))
+            if rounds is not None:
+                return gone.unionByName(rounds)
             lost = gone.select(F.col("rank").alias("y"))
             again = materialise(rest.join(lost, "y", "left_semi").select("rank"))
             waiting = rest.join(lost, "y", "left_anti").select("rank", "y", "edits")
-            open_ = materialise(waiting.unionByName(self.next(gone.select("rank"), again)))
+            open_ = materialise(waiting.unionByName(self.partners(gone.select("rank"), again)))
 
 
 def emitted(lines: list[str], first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

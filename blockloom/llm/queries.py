@@ -42,7 +42,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import linededup
 
-    return linededup.dropped_lines(table(spark, sf_dir, "documents"))
+    return linededup.dropped_lines(table(spark, sf_dir, "documents"), exhaustive=True)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -425,6 +425,25 @@ def test_line_dedup_bound_grows(spark, corpus, monkeypatch):
     assert any(r.edits > 1 for r in found)
 
 
+@pytest.mark.parametrize("at_once", [0, linededup.AT_ONCE])
+def test_line_dedup_leaves_no_line_near_one_that_stays(spark, tmp_path, monkeypatch, at_once):
+    """The query and the pipeline's stage decide chains to their ends, in rounds and in one task alike."""
+    monkeypatch.setattr(linededup, "AT_ONCE", at_once)
+    chain = [" ".join([*(f"n{j}" for j in range(i)), *BASE[i:]]) for i in range(6)]
+    near = " ".join([*chain[2].split()[:9], "other"])  # its first partner goes, its second one stays
+    far = [[f"w{i}" for i in range(60)]]
+    for i in range(5):
+        far.append([f"x{i}" if at in (i * 7, i * 7 + 1, i * 7 + 2) else x for at, x in enumerate(far[-1])])
+    rows = list(enumerate([*chain, near, *(" ".join(x) for x in far), "\n".join(chain[::-1]), *(" ".join(x).replace("w", "u") for x in far[::-1])]))
+    docs = docs_of(spark, [t for _, t in rows])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_lines(rows)
+    found = queries.op5_line_dedup(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.line) for r in found} == set(want)
+    assert all(want[r.doc_id, r.line][r.kept_doc_id, r.kept_line] == r.edits for r in found)
+    assert set(want) > set(brute_heads(rows))
+
+
 def test_columns_with_clashing_names(spark):
     """Helper columns never meet the caller's, whatever these are called; values come through."""
     more = ["own_hash", "gone", "gone_id", "gone_hash", "keep_id", "keep_hash", "doc_hash", "GONE_", "x", "key", "rank", "line", "h1", "score", "n"]
