@@ -587,7 +587,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A document that loses lines and has no letter or digit left goes; others stay.
     """
     own, gone, gone_id, gone_hash = fresh(docs, "own_hash", "gone", "gone_id", "gone_hash")
-    found = dropped_lines(docs).groupBy("doc_id", "doc_hash").agg(F.collect_set("line").alias(gone))
+    found = dropped_lines(docs, exhaustive=True).groupBy("doc_id", "doc_hash").agg(F.collect_set("line").alias(gone))
     keyed = docs.withColumn(own, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
     both = keyed.join(found.select(F.col("doc_id").alias(gone_id), F.col("doc_hash").alias(gone_hash), gone), (F.col(own) == F.col(gone_hash)) & F.col("doc_id").eqNullSafe(F.col(gone_id)), "left")
     rest = F.expr(f"transform(array(split(text, '\\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), `{gone}`), i -> l[i]), '\\n'))[0]")

@@ -442,6 +442,8 @@ def test_line_dedup_leaves_no_line_near_one_that_stays(spark, tmp_path, monkeypa
     assert {(r.doc_id, r.line) for r in found} == set(want)
     assert all(want[r.doc_id, r.line][r.kept_doc_id, r.kept_line] == r.edits for r in found)
     assert set(want) > set(brute_heads(rows))
+    kept = {r.doc_id: r.text for r in linededup.without_repeats(docs).collect()}
+    assert kept == {i: x for i, t in rows if (x := "\n".join(line for k, line in enumerate(t.split("\n")) if (i, k) not in want))}
 
 
 def test_columns_with_clashing_names(spark):
