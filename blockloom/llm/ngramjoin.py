@@ -232,9 +232,10 @@ def classes(docs: DataFrame) -> DataFrame:
                 [own.column("doc_hash"), pa.array([set_hash(x) for x in items], pa.binary()), pa.array([x.tobytes() for x in items], pa.binary())], names=["doc_hash", "c", "items"]
             )
 
-    found = with_keys(docs).mapInArrow(again, "doc_hash long, c binary, items binary").join(alive, ["c", "doc_hash"], "left_semi").dropDuplicates(["c"])
-    found = materialise(found.select("c", "items").join(sigs, "c"))
-    full = left.join(found, "c").select("key", "i", "j", "blk", "band", "c", "sig", "w", "items").repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    # joined by c alone, all sides meet in one exchange: the sets, the widest rows here, are dealt once before they go to the units
+    own = alive.select("c", F.col("doc_hash").alias("own"))
+    found = with_keys(docs).mapInArrow(again, "doc_hash long, c binary, items binary").join(own, "c").where("doc_hash = own").dropDuplicates(["c"]).select("c", "items")
+    full = left.join(found, "c").join(sigs, "c").select("key", "i", "j", "blk", "band", "c", "sig", "w", "items").repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     linked = materialise(full.mapInArrow(links, "a binary, b binary, n_links long"))
 
     roots = components(linked.select("a", "b"))

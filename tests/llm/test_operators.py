@@ -191,6 +191,16 @@ def test_ngram_join_in_blocks(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_ngram_join_deals_sets_straight_to_units(spark, monkeypatch):
+    """The sets of shingles, its widest rows, are not written down between the second scan and the units."""
+    written = []
+    monkeypatch.setattr(ngramjoin, "materialise", lambda df: written.append(df.columns) or common.materialise(df))
+    texts = near_copies(4)
+    got = {r.doc_id: r.class_id for r in ngramjoin.classes(docs_of(spark, texts)).collect()}
+    assert len(set(got.values())) < len(texts) and len(written) > 3
+    assert not [x for x in written if "items" in x]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i - 1) for i in range(1, 40)] + [(rng.randint(60, 99), rng.randint(50, 59)) for _ in range(60)]
