@@ -7,7 +7,7 @@ so results don't depend on the order in which Spark reads rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -203,16 +203,20 @@ def texts(column: pa.Array) -> list[bytes]:
 FILTER_BITS = 1 << 30
 
 
-def bits_of(df: DataFrame, column: str) -> bytes:
+def table_size(bits: int) -> int:
+    size = 1 << 16
+    while size < min(bits, FILTER_BITS):
+        size *= 2
+    return size
+
+
+def bits_of(df: DataFrame, column: str, each: int = 16) -> bytes:
     """A bit table of the values of a 64-bit hash column: a set bit for each, so none is missed.
 
-    It has 16 bits for each value, up to FILTER_BITS (beyond 2^26 values more rows pass in vain, and none is lost).
+    It has `each` bits for each value, up to FILTER_BITS (beyond 2^26 values more rows pass in vain, and none is lost).
     Spark ORs the bits together; only the table's words reach the driver, as Arrow.
     """
-    size = 1 << 16
-    many = df.count()
-    while size < min(16 * many, FILTER_BITS):
-        size *= 2
+    size = table_size(each * df.count())
     place = F.pmod(F.col(column), F.lit(size))
     words = df.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -227,6 +231,91 @@ def in_bits(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (table[place >> 6].view(np.uint64) >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
+#: Parts in which equal values meet: no two parts share a word of a bit table. Values that a task holds at once.
+PARTS, AT_ONCE = 1 << 10, 1 << 22
+BLOBS = "part int, values binary, weights binary"
+
+
+def _packed(part: list[int], values: list[np.ndarray], weights: list[np.ndarray]) -> pa.RecordBatch:
+    blobs = (pa.array([x.tobytes() for x in column], pa.binary()) for column in (values, weights))
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *blobs], names=["part", "values", "weights"])
+
+
+def _blob(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=np.int64)
+
+
+def _summed(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values, the sums of their weights, and which came more than once."""
+    order = np.argsort(values)
+    values = values[order]
+    start = np.flatnonzero(np.diff(values, prepend=values[0] - 1)) if len(values) else np.empty(0, dtype=np.int64)
+    sums = np.add.reduceat(weights[order], start) if len(start) else start
+    return values[start], sums, np.diff(start, append=len(values)) > 1
+
+
+def repeated(df: DataFrame, found: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """The 64-bit values that found() gives more than once over all batches, with the sums of their weights, packed by the part.
+
+    A task sends each of its values once, or twice if it has it more often, so that a frequent value burdens no task.
+    """
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in rows_of(batches):
+            held.append(found(batch))
+            size += len(held[-1][0])
+            if size >= AT_ONCE:
+                yield parted(held)
+                held, size = [], 0
+        if size:
+            yield parted(held)
+
+    def parted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        values, weights, again = _summed(*(np.concatenate(x) for x in zip(*held)))
+        values, weights = np.concatenate([values, values[again]]), np.concatenate([weights, np.zeros(again.sum(), dtype=np.int64)])
+        part = (values >> 6) & (PARTS - 1)
+        order = np.argsort(part, kind="stable")
+        own, start = np.unique(part[order], return_index=True)
+        return _packed(own.tolist(), np.split(values[order], start[1:]), np.split(weights[order], start[1:]))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(_blob(x, "values"), _blob(x, "weights")) for x in batches]
+        if held:
+            values, weights, again = _summed(*(np.concatenate(x) for x in zip(*held)))
+            yield _packed([0], [values[again]], [weights[again]])
+
+    tasks = min(PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return materialise(df.mapInArrow(sent, BLOBS).repartition(tasks, "part").mapInArrow(met, BLOBS))
+
+
+def bits_in(packed: DataFrame) -> bytes:
+    """bits_of() the values that repeated() has packed."""
+    size = table_size(2 * (packed.agg(F.sum(F.length("values"))).first()[0] or 0))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.sort(_blob(batch, "values") & np.int64(size - 1))
+            start = np.flatnonzero(np.diff(place >> 6, prepend=-1))
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (place & 63).astype(np.uint64), start) if len(start) else np.empty(0, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array((place[start] >> 6).astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    found = packed.mapInArrow(words, "word int, bits long").toArrow()
+    table = np.zeros(size // 64, dtype=np.int64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return table.tobytes()
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """key and size: a row for each value that repeated() has packed, and its weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_blob(batch, x)) for x in ("values", "weights")], names=["key", "size"])
+
+    return packed.mapInArrow(run, "key long, size long")
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """The runs of rows that agree in the first columns, from batches sorted by them."""
     held: list[pa.RecordBatch] = []

@@ -9,8 +9,9 @@ left out), or else for the earliest one. With exhaustive=False only the first st
 line whose first partner has a partner itself stays. The bound follows from the words n of the shorter
 line: 0 below EDITED, 1 from there on, and n // EVERY from FAR on. A line that goes names a line that stays.
 
-1. Each line becomes a 128-bit hash; Spark finds the earliest of equal lines, and only
-   that one goes on.
+1. Each line becomes a 128-bit hash; of equal lines only the earliest goes on.
+   Which hashes occur more than once is found by shuffling the hashes alone, and kept as a
+   table of bits; only lines that it may hold are grouped.
 2. Two lines within one edit share their first or last h words, h being half the shortest
    length of the shorter one's class of lengths (CLASSES). Only lines that share such a
    run with another go on (nothing else can have a partner).
@@ -25,7 +26,8 @@ line: 0 below EDITED, 1 from there on, and n // EVERY from FAR on. A line that g
    least hash is kept (winnowing), so that two such lines share a kept hash.
 6. Lines that share one are compared within units of two blocks of BLOCK lines at most, by
    their lengths and by how often their words fall in each of BAG classes: k edits change
-   these counts by 2 k at most. No pair within the bound is lost. The lines of a unit that
+   these counts by 2 k at most. No pair within the bound is lost. Units that hold the same
+   lines, as near copies share many hashes, are one from here on. The lines of a unit that
    may have a partner there come back with their words, and each that has no line one word
    away takes the earliest one that a banded word distance finds within the bound.
 7. A line whose partner has none goes. One whose partner goes looks for its next partner among
@@ -33,7 +35,8 @@ line: 0 below EDITED, 1 from there on, and n // EVERY from FAR on. A line that g
    undecided lines and what shares a variant or a unit with them. Once that is AT_ONCE rows
    or less, one task decides these lines one after the other.
 
-The words of lines in steps 3, 6 and 7 are found in a second scan through a bit table.
+The same is done with the hashes of steps 2 to 5: only those that occur more than once are joined. The words of
+lines in steps 3, 6 and 7 are found in a second scan through a bit table of their places.
 
 Defined results: null and empty texts have no lines; lines of any length are taken
 whole; rows with equal doc_id and text are one document, and keep the same lines;
@@ -47,10 +50,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _B, _B_INV, PIECE, bits_of, characters, codes, fresh, in_bits, materialise, mix, normal, rows_of, span_hashes, with_keys
+from .common import _B, _B_INV, PIECE, bits_in, bits_of, characters, codes, fresh, in_bits, materialise, mix, normal, repeated, rows_of, span_hashes, unpacked, with_keys
 
 EDITED = 8
 #: Words for each edit allowed; from FAR words on it is two or more.
@@ -75,7 +78,7 @@ LAST = (1 << 63) - 1
 LINES = "doc_id long, doc_hash long, line int, h1 long, h2 long, n int, p long, s long, p1 long, s1 long, keys array<long>, bag binary"
 PLACE = ["id", "doc_hash", "line", "h1", "h2"]
 UNIT = ["key", "i", "j", "blk", "n", "bag", "h1", "h2"]
-UNITS = "key long, i int, j int, blk int, n int, bag binary, h1 long, h2 long"
+UNITS = "key long, i int, j int, blk int, h1 long, h2 long"
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -152,11 +155,9 @@ def runs(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def kept_grams(words: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """For each line the kept hashes of its runs of GRAM words, and how many of its words (modulo 256) are of each
-    class; nothing for lines of less than FAR words."""
+    """For each line the kept hashes of its runs of GRAM words, and its bag; nothing for lines of less than FAR words."""
     far = np.flatnonzero(count >= FAR)
-    sizes, bytes_ = np.zeros(len(start) + 1, dtype=np.int32), np.zeros(len(start) + 1, dtype=np.int32)
-    kept, bags = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint8)
+    sizes, kept = np.zeros(len(start) + 1, dtype=np.int32), np.empty(0, dtype=np.uint64)
     if len(far):
         gram = np.zeros(len(words) - GRAM + 1, dtype=np.uint64)
         for j in range(GRAM):
@@ -175,13 +176,20 @@ def kept_grams(words: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple
         at = np.flatnonzero(new & (np.cumsum(inside[:n]) > 0))
         kept = least[at]
         sizes[far + 1] = np.bincount(np.searchsorted(start[far], at, "right") - 1, minlength=len(far))
-        owner = np.repeat(np.arange(len(far)), count[far])
-        place = np.repeat(start[far] - np.cumsum(count[far]) + count[far], count[far]) + np.arange(len(owner))
-        classes = (words[place] & np.uint64(BAG - 1)).astype(np.int64)
-        bags = np.bincount(owner * BAG + classes, minlength=len(far) * BAG).astype(np.uint8)
-        bytes_[far + 1] = BAG
     keys = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(kept.view(np.int64)))
-    return keys, pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.cumsum(bytes_, dtype=np.int32)), pa.py_buffer(bags)])
+    return keys, bags(words, start, count)
+
+
+def bags(words: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.Array:
+    """For each line how many of its words (modulo 256) are of each class; nothing for lines of less than FAR words."""
+    far = np.flatnonzero(count >= FAR)
+    bytes_ = np.zeros(len(start) + 1, dtype=np.int32)
+    bytes_[far + 1] = BAG
+    owner = np.repeat(np.arange(len(far)), count[far])
+    place = np.repeat(start[far] - np.cumsum(count[far]) + count[far], count[far]) + np.arange(len(owner))
+    classes = (words[place] & np.uint64(BAG - 1)).astype(np.int64)
+    made = np.bincount(owner * BAG + classes, minlength=len(far) * BAG).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.cumsum(bytes_, dtype=np.int32)), pa.py_buffer(made)])
 
 
 def variants(words: np.ndarray, first: bool, second: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,23 +233,25 @@ def every_line(docs: DataFrame) -> DataFrame:
 
 
 def distance(w: list[str], v: list[str], most: int) -> int | None:
-    """The word edit distance if it is most or less: how far each number of edits reaches on each diagonal."""
+    """The word edit distance if it is most or less: how far each number of edits reaches on each diagonal from which
+    the edits left can still come back to the last one."""
     n, m = len(w), len(v)
-    reach = {0: 0}
+    gap, off = m - n, most + 1
+    reach = [-2] * (2 * off + 1)
     for edits in range(most + 1):
-        now = {}
-        for d in range(-edits, edits + 1):  # d words more of v than of w
-            if edits:
-                i = max(reach.get(d, -2) + 1, reach.get(d + 1, -2) + 1, reach.get(d - 1, -2))
-            else:
-                i = 0
-            i = min(i, n, m - d)
+        now = [-2] * (2 * off + 1)
+        for d in range(max(-edits, gap - most + edits), min(edits, gap + most - edits) + 1):  # d words more of v than of w
+            x = d + off
+            i = max(reach[x] + 1, reach[x + 1] + 1, reach[x - 1]) if edits else 0
+            end = n if n < m - d else m - d
+            if i > end:
+                i = end
             if i < 0 or i + d < 0:
                 continue
-            while i < n and i + d < m and w[i] == v[i + d]:
+            while i < end and w[i] == v[i + d]:
                 i += 1
-            now[d] = i
-        if now.get(m - n) == n:
+            now[x] = i
+        if abs(gap) <= edits and now[gap + off] == n:
             return edits
         reach = now
     return None
@@ -289,18 +299,32 @@ def bags_of(table: pa.Table) -> np.ndarray:
 
 
 def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each unit that lengths and bags allow a partner in it. Batches are sorted by key, i and j."""
-    for table, c, end in by_unit(batches, ("n", "blk")):
+    """The rows of each unit that lengths and bags allow a partner in it. Batches are sorted by key, i, j, h1 and h2.
+
+    Near copies share many kept hashes, so many units hold the same lines: from here on a unit's key is a hash of its
+    lines, and of the block of each if its pairs are those between two blocks. Units that meet by chance only have more to compare.
+    """
+    for table, c, end in by_unit(batches, ("n", "blk", "h1", "h2")):
         c["bag"] = bags_of(table)
+        twin = np.zeros(len(end), dtype=bool)  # a line that came twice
+        twin[1:] = (end[1:] == end[:-1]) & (c["h1"][1:] == c["h1"][:-1]) & (c["h2"][1:] == c["h2"][:-1])
         y, met = np.arange(len(end)), np.zeros(len(end), dtype=bool)
         for off in range(1, len(end)):
             y = y[y + off < end[y]]
             if not len(y):
                 break
-            b = y[~(met[y] & met[y + off])]
+            b = y[~(met[y] & met[y + off] | twin[y] | twin[y + off])]
             b = b[may_pair(c, b + off, b)]
             met[b] = met[b + off] = True
-        yield from table.select(UNIT).filter(pa.array(met)).combine_chunks().to_batches()
+        if not met.any():
+            continue
+        end, h1, h2 = end[met], c["h1"][met], c["h2"][met]
+        two = c["i"][met] != c["j"][met]
+        blk = (two & (c["blk"][met] == c["j"][met])).astype(np.int32)
+        start = np.flatnonzero(np.diff(end, prepend=-1))
+        own = mix(h1.view(np.uint64) * np.uint64(_B) + h2.view(np.uint64) * np.uint64(_C) + blk.astype(np.uint64))
+        key = np.repeat(mix(np.add.reduceat(own, start)).view(np.int64), np.diff(start, append=len(end)))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, np.zeros(len(key), dtype=np.int32), two.astype(np.int32), blk, h1, h2)], names=[x.split()[0] for x in UNITS.split(", ")])
 
 
 def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +392,7 @@ def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def units(rows: DataFrame) -> DataFrame:
     """The rows dealt to the units of their two blocks, each unit in one task."""
     dealt = rows.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o"))
-    return in_units(dealt.select(*UNIT))
+    return in_units(dealt.select(*UNIT), "h1", "h2")
 
 
 def in_units(rows: DataFrame, *order: str) -> DataFrame:
@@ -376,68 +400,158 @@ def in_units(rows: DataFrame, *order: str) -> DataFrame:
     return rows.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j", *order)
 
 
-def sharing(first: DataFrame) -> DataFrame:
-    """The lines of FAR words or more with each kept hash that another line has too, cut into blocks."""
-    far = first.where(F.col("n") >= FAR)
-    shared = materialise(far.select("n", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c"), F.sum(F.greatest("n", F.lit(LEAST))).alias("size")).where("c > 1"))
-    table = first.sparkSession.sparkContext.broadcast(bits_of(shared, "key"))
+def place_hash() -> Column:
+    """A hash of a line's document and number; its neighbours' differ above the lowest six bits."""
+    return F.col("doc_hash").bitwiseXOR(F.shiftleft(F.col("line").cast("long"), 6)).alias("at")
 
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(table.value, dtype=np.int64)
-        for batch in rows_of(batches, PIECE):
-            lists = batch.column("keys")
-            row, key = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy()
-            # a line has a kept hash once, wherever it stands
-            pair = np.unique(np.stack([row[hit], key[hit]], axis=1), axis=0) if (hit := in_bits(bits, key)).any() else np.empty((0, 2), dtype=np.int64)
-            take = pa.array(pair[:, 0])
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 1].copy()), *(batch.column(x).take(take) for x in own)], names=["key", *own])
 
-    own = ["h1", "h2", "n", "bag"]
-    rows = far.select(*own, "keys").mapInArrow(hits, "key long, h1 long, h2 long, n int, bag binary").join(shared, "key")
-    blocks = F.ceil(F.col("size") / (BLOCK * LEAST)).cast("int")
-    return rows.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.col("h2"), F.col("blocks")).cast("int")).drop("c", "size")
+class Lines:
+    """All lines, and which of them occur more than once.
+
+    lines: each line. again: those whose hash occurs more than once (and a few more). heads: of each group of equal ones
+    among them the earliest. goes_on(): whether a line of a batch is the earliest of its equals; no such line is missed, and
+    a few others pass.
+    """
+
+    def __init__(self, docs: DataFrame):
+        sc = docs.sparkSession.sparkContext
+        self.lines = materialise(every_line(docs))
+        table = sc.broadcast(bits_in(repeated(self.lines.select("h1"), _hashes)))
+        own = ["doc_id", "doc_hash", "line", "h1", "h2"]
+
+        def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.frombuffer(table.value, dtype=np.int64)
+            for batch in rows_of(batches):
+                yield batch.filter(pa.array(in_bits(bits, batch.column("h1").to_numpy())))
+
+        self.again = materialise(self.lines.select(*own).mapInArrow(twice, "doc_id long, doc_hash long, line int, h1 long, h2 long"))
+        self.heads = materialise(self.again.groupBy("h1", "h2").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "doc_hash", "line")).alias("x")).select("h1", "h2", "x.*"))
+        head = sc.broadcast(bits_of(self.heads.select(place_hash()), "at", 64))
+
+        def goes_on(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            """Which lines go on, and which occur more than once."""
+            often = in_bits(np.frombuffer(table.value, dtype=np.int64), batch.column("h1").to_numpy())
+            at = batch.column("doc_hash").to_numpy() ^ (batch.column("line").to_numpy().astype(np.int64) << 6)
+            return ~often | in_bits(np.frombuffer(head.value, dtype=np.int64), at), often
+
+        self.goes_on = goes_on
+
+
+def _hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    values = batch.column(0).to_numpy()
+    return values, np.zeros(len(values), dtype=np.int64)
+
+
+def _runs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first and last runs of the lines of a batch: hash, row, and whether it is a first one."""
+    columns = [batch.column(x) for x in ("p", "s", "p1", "s1")]
+    there = [np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False)) for x in columns]
+    return np.concatenate([x.drop_null().to_numpy() for x in columns]), np.concatenate(there), np.repeat([True, False, True, False], [len(x) for x in there])
+
+
+def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The kept hashes of the lines of a batch, each once for a line, and their rows."""
+    lists = batch.column("keys")
+    row, key = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy()
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+    return key[new], row[new]
 
 
 class Partners:
     """The lines that may have partners, numbered in order, and their partners among those that aren't gone."""
 
-    def __init__(self, docs: DataFrame, first: DataFrame):
-        runs_ = first.where(F.col("n") >= EDITED).select("h1", "h2", F.explode(F.expr("filter(array(struct(p as k, true as p), struct(s as k, false as p), struct(p1 as k, true as p), struct(s1 as k, false as p)), x -> x.k is not null)")).alias("x")).select("h1", "h2", "x.*")
-        shared = runs_.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-        near = runs_.join(shared, "k").groupBy("h1", "h2").agg(F.bool_or("p").alias("first"), F.bool_or(~F.col("p")).alias("second"), F.lit(False).alias("far"))
-        met = materialise(units(sharing(first)).mapInArrow(alike, UNITS))
+    def __init__(self, docs: DataFrame, all_: Lines):
+        goes_on = all_.goes_on
+        long_ = all_.lines.where(F.col("n") >= EDITED)
+
+        def hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            batch = batch.filter(pa.array(goes_on(batch)[0]))
+            (run, _, _), (key, row) = _runs(batch), _keys(batch)
+            size = np.maximum(batch.column("n").to_numpy(), LEAST).astype(np.int64)
+            return np.concatenate([run, key]), np.concatenate([np.zeros(len(run), dtype=np.int64), size[row]])
+
+        runs_ = ["doc_hash", "line", "h1", "h2", "p", "s", "p1", "s1"]
+        packed = repeated(long_.select(*runs_, "n", "keys"), hashes)
+        table, shared = docs.sparkSession.sparkContext.broadcast(bits_in(packed)), unpacked(packed)
+
+        def run_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.frombuffer(table.value, dtype=np.int64)
+            for batch in rows_of(batches):
+                batch = batch.filter(pa.array(goes_on(batch)[0]))
+                run, row, is_first = _runs(batch)
+                hit = in_bits(bits, run)
+                take = pa.array(row[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(run[hit]), pa.array(is_first[hit]), *(batch.column(x).take(take) for x in ("h1", "h2"))], names=["key", "p", "h1", "h2"])
+
+        def key_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.frombuffer(table.value, dtype=np.int64)
+            for batch in rows_of(batches, PIECE):
+                batch = batch.filter(pa.array(goes_on(batch)[0]))
+                key, row = _keys(batch)
+                hit = in_bits(bits, key)
+                take = pa.array(row[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(key[hit]), *(batch.column(x).take(take) for x in own)], names=["key", *own])
+
+        own = ["h1", "h2", "n", "bag"]
+        near = long_.select(*runs_).mapInArrow(run_hits, "key long, p boolean, h1 long, h2 long").join(shared.select("key"), "key")
+        near = near.groupBy("h1", "h2").agg(F.bool_or("p").alias("first"), F.bool_or(~F.col("p")).alias("second"), F.lit(False).alias("far"))
+        rows = long_.where(F.col("n") >= FAR).select("doc_hash", "line", *own, "keys").mapInArrow(key_hits, "key long, h1 long, h2 long, n int, bag binary").join(shared, "key")
+        rows = rows.withColumn("blocks", F.ceil(F.col("size") / (BLOCK * LEAST)).cast("int")).withColumn("blk", F.pmod(F.col("h2"), F.col("blocks")).cast("int"))
+        met = materialise(units(rows).mapInArrow(alike, UNITS).dropDuplicates(["key", "i", "j", "blk", "h1", "h2"]))
         members = met.select("h1", "h2").distinct().select("h1", "h2", F.lit(False).alias("first"), F.lit(False).alias("second"), F.lit(True).alias("far"))
         alive = materialise(near.unionByName(members).groupBy("h1", "h2").agg(*[F.bool_or(x).alias(x) for x in ("first", "second", "far")]))
-        self.lines = self._found_again(docs, first, alive)
+        self.lines = self._found_again(docs, all_, alive)
         self.far = materialise(met.join(self.lines.where("far").select("h1", "h2", "rank"), ["h1", "h2"]).drop("h1", "h2"))
-        self.rows = materialise(self.lines.where("first or second").select("rank", "words", "first", "second").mapInArrow(_emit, "key long, kind byte, rank long"))
+        every = materialise(self.lines.where("first or second").select("rank", "words", "first", "second").mapInArrow(_emit, "key long, kind byte, rank long"))
+        again = docs.sparkSession.sparkContext.broadcast(bits_in(repeated(every.select("key"), _hashes)))
+
+        def met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.frombuffer(again.value, dtype=np.int64)
+            for batch in rows_of(batches):
+                yield batch.filter(pa.array(in_bits(bits, batch.column("key").to_numpy())))
+
+        self.rows = materialise(every.mapInArrow(met_again, "key long, kind byte, rank long"))
 
     @staticmethod
-    def _found_again(docs: DataFrame, first: DataFrame, alive: DataFrame) -> DataFrame:
+    def _found_again(docs: DataFrame, all_: Lines, alive: DataFrame) -> DataFrame:
         """The words of the lines that go on, and their numbers in order."""
-        wanted = materialise(alive.join(first.select(*PLACE), ["h1", "h2"]))
-        sc = docs.sparkSession.sparkContext
-        tables = [sc.broadcast(bits_of(wanted, x)) for x in ("doc_hash", "h1")]
+        goes_on, sc = all_.goes_on, docs.sparkSession.sparkContext
+        hashes = sc.broadcast(bits_of(alive, "h1"))
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.frombuffer(hashes.value, dtype=np.int64)
+            for batch in rows_of(batches):
+                batch = batch.filter(pa.array(in_bits(bits, batch.column("h1").to_numpy())))
+                go, often = goes_on(batch)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(often)], names=[*batch.schema.names, "often"]).filter(pa.array(go))
+
+        at = all_.lines.where(F.col("n") >= EDITED).select("doc_id", "doc_hash", "line", "h1", "h2")
+        at = at.mapInArrow(placed, "doc_id long, doc_hash long, line int, h1 long, h2 long, often boolean")
+        earliest = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "doc_hash", "line", "doc_id", "often")).alias("x")
+        wanted = materialise(alive.join(at.groupBy("h1", "h2").agg(earliest).select("h1", "h2", "x.*"), ["h1", "h2"]))
+        places = sc.broadcast(bits_of(wanted.select(place_hash()), "at", 64))
 
         def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            docs_, lines_ = (np.frombuffer(t.value, dtype=np.int64) for t in tables)
+            places_ = np.frombuffer(places.value, dtype=np.int64)
             for batch in rows_of(batches, PIECE):
-                batch = batch.filter(pa.array(in_bits(docs_, batch.column("doc_hash").to_numpy())))
-                if not batch.num_rows:
-                    continue
-                texts, row, number, h, _, _ = found_in(batch)
-                hit = np.flatnonzero(in_bits(lines_, h[:, 0]) & (h[:, 2] >= EDITED))
-                row, number, h = row[hit], number[hit], h[hit]
-                lines: list[str] = []
-                for r in np.unique(row):
-                    own = texts[r].split("\n")
-                    lines += [normal(own[i]) for i in number[row == r]]
+                hashes_, own = batch.column("doc_hash").to_numpy(), [x.split("\n") for x in batch.column("text").to_pylist()]
+                count = np.array([len(x) for x in own])
+                row = np.repeat(np.arange(len(own)), count)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                hit = np.flatnonzero(in_bits(places_, hashes_[row] ^ (number << 6)))
+                row, number = row[hit], number[hit]
+                picked = [own[r][i] for r, i in zip(row.tolist(), number.tolist())]
+                at, _, h, every, start = lines_in(picked)  # a line without words has no row
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_hash").take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(lines, pa.string())],
-                    names=["doc_hash", "line", "h1", "h2", "words"],
+                    [pa.array(hashes_[row[at]]), pa.array(number[at].astype(np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1]),
+                     pa.array(h[:, 2].astype(np.int32)), bags(every, start, h[:, 2]), pa.array([normal(picked[i]) for i in at.tolist()], pa.string())],
+                    names=["doc_hash", "line", "h1", "h2", "n", "bag", "words"],
                 )
 
-        texts = with_keys(docs).mapInArrow(again, "doc_hash long, line int, h1 long, h2 long, words string")
+        texts = with_keys(docs).mapInArrow(again, "doc_hash long, line int, h1 long, h2 long, n int, bag binary, words string")
         found = texts.join(wanted, ["h1", "h2", "doc_hash", "line"]).dropDuplicates(["h1", "h2"])
         # the numbers of a sorted table rise with its rows
         return materialise(found.orderBy(*PLACE).withColumn("rank", F.monotonically_increasing_id()))
@@ -451,16 +565,16 @@ class Partners:
         if open_ is not None:
             rows = rows.join(open_, "rank", "left_semi")
         found = rows.join(least, "key").withColumn("y", partner).where("y < rank").groupBy("rank").agg(F.min("y").alias("y"))
-        words = self.lines.where("first or second").select("rank", F.split("words", " ").alias("w"))
+        words = self.lines.where("first or second").select("rank", F.col("words").alias("w"))
         met = found.join(words, "rank").join(words.select(F.col("rank").alias("y"), F.col("w").alias("v")), "y")
-        return materialise(met.where(within_one("w", "v")).select("rank", "y", F.lit(1).alias("edits")))
+        return materialise(met.select("rank", "y", "w", "v").mapInArrow(confirmed, "rank long, y long, edits int"))
 
     def partners(self, gone: DataFrame | None, open_: DataFrame | None) -> DataFrame:
         """rank, y and edits of those lines, or open ones, that have a partner that isn't gone."""
         near = self.near(gone, open_)
         far = self.lines.where("far")
         asks = (far if open_ is None else far.join(open_, "rank", "left_semi")).join(near, "rank", "left_anti").select("rank", F.lit(True).alias("asks"))
-        words = far.select("rank", "words").join(asks, "rank", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        words = far.select("rank", "words", "n", "bag").join(asks, "rank", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
         rows = self.far.join(words if gone is None else words.join(gone, "rank", "left_anti"), "rank")
         found = in_units(rows, "rank").mapInArrow(settled, "rank long, y long, edits int").groupBy("rank").agg(F.min("y").alias("y"), F.min_by("edits", "y").alias("edits"))
         return materialise(near.unionByName(found))
@@ -542,43 +656,45 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), batch.column("rank").take(pa.array(row))], names=["key", "kind", "rank"])
 
 
-def within_one(w: str, v: str):
-    """Whether two arrays of words are within one edit: what their common beginning and end leave is one word at most."""
-    return F.expr(
-        f"""
-        abs(size({w}) - size({v})) <= 1 and transform(array(least(size({w}), size({v}))), m ->
-          transform(array(struct(
-            coalesce(array_position(transform(slice({w}, 1, m), (x, i) -> x <> {v}[i]), true), 0) as ahead,
-            coalesce(array_position(transform(slice(reverse({w}), 1, m), (x, i) -> x <> reverse({v})[i]), true), 0) as behind)),
-            s -> if(s.ahead = 0 or s.behind = 0, true, s.ahead + s.behind - 2 >= greatest(size({w}), size({v})) - 1))[0])[0]
-        """
-    )
+def within_one(w: str, v: str) -> bool:
+    """Whether two lines are within one edit: what follows the first difference is equal but for one word."""
+    a, b = w.split(" "), v.split(" ")
+    if abs(len(a) - len(b)) > 1:
+        return False
+    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[at + (len(a) >= len(b)) :] == b[at + (len(b) >= len(a)) :]
+
+
+def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rank, y and edits of the rows whose lines w and v are within one edit."""
+    for batch in rows_of(batches):
+        ok = pa.array([within_one(w, v) for w, v in zip(batch.column("w").to_pylist(), batch.column("v").to_pylist())], pa.bool_())
+        x = batch.filter(ok)
+        yield pa.RecordBatch.from_arrays([x.column("rank"), x.column("y"), pa.array(np.ones(x.num_rows, dtype=np.int32))], names=["rank", "y", "edits"])
 
 
 def dropped_lines(docs: DataFrame, exhaustive: bool = False) -> DataFrame:
     """doc_id, doc_hash, line (from 0) of each line that goes, and the earlier line, which stays, that it repeats, with the edits between them."""
-    lines = materialise(every_line(docs))
-    own = ["doc_hash", "line", "doc_id", "n", "p", "s", "p1", "s1", "keys", "bag"]
-    first = materialise(lines.groupBy("h1", "h2").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), *own)).alias("x")).select("h1", "h2", "x.*"))
-    found = Partners(docs, first)
+    all_ = Lines(docs)
+    found = Partners(docs, all_)
     at = found.lines.select(F.col("rank").alias("y"), F.col("id").alias("near_id"), F.col("line").alias("near_line"))
-    near = found.decided(exhaustive).join(at, "y").join(found.lines.select("rank", "h1", "h2"), "rank").select("h1", "h2", "near_id", "near_line", "edits")
-    kept = materialise(
-        first.join(near, ["h1", "h2"], "left").select(
-            "h1", "h2", F.col("id").alias("first_id"), F.col("doc_hash").alias("first_hash"), F.col("line").alias("first_line"), "near_id", "near_line", "edits",
-        )
-    )
+    own = found.lines.select("rank", "doc_id", "doc_hash", "line", "h1", "h2", "often")
+    near = materialise(found.decided(exhaustive).join(at, "y").join(own, "rank"))
+    heads = all_.heads.select("h1", "h2", F.col("id").alias("first_id"), F.col("doc_hash").alias("first_hash"), F.col("line").alias("first_line"))
+    kept = heads.join(near.where("often").select("h1", "h2", "near_id", "near_line", "edits"), ["h1", "h2"], "left")
     itself = (F.col("doc_hash") == F.col("first_hash")) & (F.col("line") == F.col("first_line"))
     goes = F.col("near_line").isNotNull()
     to = F.when(goes, F.col("near_id")).otherwise(F.col("first_id"))
-    return (
-        lines.select("doc_id", "doc_hash", "line", "h1", "h2").join(kept, ["h1", "h2"])
+    often = (
+        all_.again.join(kept, ["h1", "h2"])
         .where(~itself | goes)
         .select(
             "doc_id", "doc_hash", "line", F.when(to < LAST, to).alias("kept_doc_id"),
             F.when(goes, F.col("near_line")).otherwise(F.col("first_line")).alias("kept_line"), F.coalesce("edits", F.lit(0)).alias("edits"),
         )
     )
+    once = near.where(~F.col("often")).select("doc_id", "doc_hash", "line", F.when(F.col("near_id") < LAST, F.col("near_id")).alias("kept_doc_id"), F.col("near_line").alias("kept_line"), "edits")
+    return often.unionByName(once)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 
@@ -733,3 +734,34 @@ def test_line_variants_emitted():
             want.setdefault(("at", i, left), set()).add((0, r))
             want.setdefault(left, set()).add((1, r))
     assert got == sorted(sorted(x) for x in want.values())
+
+
+def test_units_of_the_same_lines_become_one():
+    """Lines that share many kept hashes meet once, whatever their hashes; of a line that came twice only one is left."""
+    bag = bytes([2] * linededup.BAG)
+    rows = [(key, 0, 0, 0, 64, bag, h1, h1 * 7) for key in (3, 5, 9) for h1 in (11, 12, 12, 13)] + [(12, 0, 0, 0, 64, bag, 11, 77), (12, 0, 0, 0, 64, bag, 12, 84)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), *[pa.int32()] * 4, pa.binary(), pa.int64(), pa.int64()))], names=linededup.UNIT)
+    got = [(r["key"], r["h1"]) for x in linededup.alike(iter([batch])) for r in x.to_pylist()]
+    of = {k: sorted(h for key, h in set(got) if key == k) for k, _ in got}
+    assert sorted(of.values()) == [[11, 12], [11, 12, 13]] and len(got) == 3 * 3 + 2
+
+
+def test_repeated_values(spark):
+    rng = random.Random(5)
+    values = [rng.choice([rng.randint(-(1 << 63), (1 << 63) - 1), rng.randint(-300, 300)]) for _ in range(3000)]
+    df = spark.createDataFrame([(x, 2) for x in values], "x long, w long").repartition(5)
+    packed = common.repeated(df, lambda batch: (batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+    want = {x: 2 * values.count(x) for x in set(values) if values.count(x) > 1}
+    assert {r.key: r["size"] for r in common.unpacked(packed).collect()} == want
+    assert common.in_bits(np.frombuffer(common.bits_in(packed), dtype=np.int64), np.array(list(want))).all()
+
+
+def test_word_distance():
+    rng = random.Random(11)
+    for _ in range(2000):
+        w = [rng.choice("abcd") for _ in range(rng.randint(0, 12))]
+        v = [rng.choice("abcd") for _ in range(rng.randint(0, 12))] if rng.random() < 0.5 else [x for x in w if rng.random() < 0.9]
+        d = word_distance(w, v)
+        assert linededup.within_one(" ".join(w), " ".join(v)) == (d <= 1) or not w or not v
+        for most in range(7):
+            assert linededup.distance(w, v, most) == (d if d <= most else None)
