@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import REMEMBERED as KEPT_BY_WORKERS
 from .common import rows_of
 
 #: Parts of texts that a worker remembers; the table is emptied when full.
@@ -162,13 +163,16 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+KEPT_BY_WORKERS["bytebpe"] = codec.cache_clear
+
+
 def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> DataFrame:
     """doc_id and ids array<int> of each text; with offsets, starts and ends in code points too."""
     schema = "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in rows_of(batches, BATCH):
+        for batch in rows_of(batches, BATCH, "bytebpe"):
             text = ["" if x is None else x for x in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array(own.encode_batch(text), pa.list_(pa.int32()))]
             if offsets:
@@ -185,7 +189,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in rows_of(batches, BATCH):
+        for batch in rows_of(batches, BATCH, "bytebpe"):
             text = [own.decode(x or ()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])
 
@@ -208,7 +212,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in rows_of(batches, BATCH):
+        for batch in rows_of(batches, BATCH, "bytebpe"):
             counts, id_sums, byte_sums, sizes = [], [], [], []
             for ids in own.decimal([x or "" for x in batch.column(1).to_pylist()]):
                 back = own.decode_decimal(ids)

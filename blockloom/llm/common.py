@@ -56,8 +56,18 @@ def with_keys(docs: DataFrame) -> DataFrame:
     )
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about most_bytes or a single row."""
+#: What operators keep in a worker from one task to the next, by their names: a function each that lets go of it.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20, keeps: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds about most_bytes or a single row.
+
+    A worker that served another operator before lets go of what that one remembers; keeps: the operator that may go on with it.
+    """
+    for owner, forget in REMEMBERED.items():
+        if owner != keeps:
+            forget()
     for batch in batches:
         n = batch.num_rows
         if not n:

@@ -736,6 +736,15 @@ def test_line_variants_emitted():
     assert got == sorted(sorted(x) for x in want.values())
 
 
+def test_workers_let_go_of_what_another_operator_remembers():
+    codec = bytebpe.codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    codec.encode("some words to remember")
+    list(common.rows_of(iter([]), keeps="bytebpe"))
+    assert bytebpe.codec.cache_info().currsize == 1
+    list(common.rows_of(iter([])))
+    assert bytebpe.codec.cache_info().currsize == 0
+
+
 def test_units_of_the_same_lines_become_one():
     """Lines that share many kept hashes meet once, whatever their hashes; of a line that came twice only one is left."""
     bag = bytes([2] * linededup.BAG)
